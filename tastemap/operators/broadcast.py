@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
+def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES,
+                   rows: int | None = None) -> bool:
+    """True when ``rows * row_bytes`` (rows counted by one job if not given) is within ``limit``."""
+    if rows is None:
+        rows = df.count()
+    return rows * row_bytes <= limit
+
+
 def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES,
                     rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` when ``rows * row_bytes`` is within ``limit``.
@@ -18,6 +26,4 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_
     measures it.  Over the limit the table is returned as is and Spark plans a
     shuffle join (AQE may still turn it into a broadcast at run time).
     """
-    if rows is None:
-        rows = df.count()
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(df) if fits_broadcast(df, row_bytes, limit, rows) else df

@@ -64,6 +64,69 @@ WHERE r.rank <= 5
 """
 
 
+RATINGS_CANONICAL = "WITH " + CANON + """
+SELECT user_key, item_id, rating FROM canon
+"""
+
+POPULARITY_FILTERED_COUNTS = "WITH " + CANON + """,
+popular AS (SELECT item_id FROM raw GROUP BY item_id HAVING count(*) >= 30),
+train AS (SELECT * FROM canon WHERE item_id IN (SELECT item_id FROM popular))
+SELECT (SELECT count(*) FROM popular) AS n_popular_items,
+       (SELECT count(*) FROM raw WHERE rating > 0 AND item_id IN (SELECT item_id FROM popular)) AS n_raw_rated,
+       count(*) AS n_ratings, count(DISTINCT user_key) AS n_users, count(DISTINCT item_id) AS n_items
+FROM train
+"""
+
+ITEM_STATS = "WITH " + CATALOGUE + f"""
+SELECT item_id, title, {r6('average_rating')} AS average_rating, num_ratings FROM catalogue
+"""
+
+# Closed-form fold-in at k = 2 over the first two embedding values, lambda 0.1.
+FOLDIN_K2 = CANON + """,
+items AS (SELECT vec_id AS item_id, CAST(embedding[1] AS DOUBLE) AS x0,
+                 CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings),
+known AS (SELECT c.user_key, c.item_id, c.rating, i.x0, i.x1
+          FROM canon c JOIN items i ON i.item_id = c.item_id),
+sums AS (SELECT user_key, sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x1 * x1) AS d,
+                sum(x0 * rating) AS p, sum(x1 * rating) AS q, count(*) AS n
+         FROM known GROUP BY user_key),
+sol AS (SELECT user_key, n,
+               ((d + n * 0.1::DOUBLE) * p - b * q)
+                 / ((a + n * 0.1::DOUBLE) * (d + n * 0.1::DOUBLE) - b * b) AS u0,
+               ((a + n * 0.1::DOUBLE) * q - b * p)
+                 / ((a + n * 0.1::DOUBLE) * (d + n * 0.1::DOUBLE) - b * b) AS u1
+        FROM sums)"""
+
+FOLDIN_RANK2 = "WITH " + FOLDIN_K2 + f"""
+SELECT user_key, n, {r6('u0')} AS u0, {r6('u1')} AS u1 FROM sol
+"""
+
+RECOMMEND_RANK2_TOP10 = "WITH " + FOLDIN_K2 + """,
+stats AS (SELECT item_id, avg(rating) AS average_rating, count(*) AS num_ratings
+          FROM canon GROUP BY item_id),
+catalogue AS (SELECT p.p_partkey AS item_id, p.p_name AS title, s.average_rating,
+                     coalesce(s.num_ratings, 0) AS num_ratings
+              FROM part p LEFT JOIN stats s ON s.item_id = p.p_partkey),
+scores AS (
+  SELECT u.user_key, i.item_id, u.u0 * i.x0 + u.u1 * i.x1 AS predicted_score
+  FROM sol u CROSS JOIN items i
+  WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.user_key = u.user_key AND c.item_id = i.item_id)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_key ORDER BY predicted_score DESC, item_id)
+                 AS INTEGER) AS rank
+  FROM scores)""" + f"""
+SELECT r.user_key, r.rank, r.item_id, c.title, {r6('r.predicted_score')} AS predicted_score,
+       {r6('c.average_rating')} AS average_rating, c.num_ratings
+FROM ranked r JOIN catalogue c ON c.item_id = r.item_id
+WHERE r.rank <= 10
+"""
+
 ORACLE = {
+    "ratings_canonical": RATINGS_CANONICAL,
+    "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
+    "item_stats": ITEM_STATS,
+    "foldin_rank2": FOLDIN_RANK2,
+    "foldin_pandas": FOLDIN_RANK2,
+    "recommend_rank2_top10": RECOMMEND_RANK2_TOP10,
     "similar_top5": SIMILAR_TOP5,
 }

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.numeric import result_round
+from ..operators import foldin as FI
 from ..operators import ratings as R
+from ..operators import recommend as RC
 from ..operators import similar as S
 from ..sources import tables
 from . import fixtures as X
@@ -30,7 +32,69 @@ def similar_top5(spark: SparkSession, sf: str) -> DataFrame:
                       "num_ratings")
 
 
+def ratings_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 + A7: rated rows, one per (user, item), last write wins."""
+    return X.canonical(spark, sf)
+
+
+def popularity_filtered_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + J1 + A3: the training set's size after the popularity filter.
+
+    ``n_raw_rated`` counts rated rows of popular items before the dedupe (what
+    the reference trains on); the other counts describe the canonical set.
+    """
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    popular = R.popular_items(raw.select("item_id"), X.MIN_RATINGS)
+    train = R.training_ratings(raw, X.MIN_RATINGS)
+    raw_rated = R.rated_only(raw).join(F.broadcast(popular.select("item_id")), "item_id", "left_semi")
+    return R.dataset_counts(train).select(
+        popular.agg(F.count(F.lit(1))).scalar().alias("n_popular_items"),
+        raw_rated.agg(F.count(F.lit(1))).scalar().alias("n_raw_rated"),
+        "n_ratings", "n_users", "n_items")
+
+
+def item_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 + D2: the catalogue, every titled item with its rating statistics."""
+    return X.catalogue(spark, sf).select(
+        "item_id", "title", result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
+def _foldin_out(users: DataFrame) -> DataFrame:
+    return users.select("user_key", "n",
+                        result_round(F.col("features")[0]).alias("u0"),
+                        result_round(F.col("features")[1]).alias("u1"))
+
+
+def foldin_rank2(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 closed form at k = 2 over every user's canonical ratings."""
+    items = X.foldin_item_factors(spark, sf)
+    return _foldin_out(FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2, closed_form=True))
+
+
+def foldin_pandas(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 by the general-k pandas solver, run at k = 2 to meet the same oracle."""
+    items = X.foldin_item_factors(spark, sf)
+    return _foldin_out(FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2, closed_form=False))
+
+
+def recommend_rank2_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """M5: fold-in -> score all items -> drop rated -> top 10 -> catalogue."""
+    items = X.foldin_item_factors(spark, sf)
+    users = FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2)
+    recs = RC.recommend(users, items, 10)
+    out = RC.enrich_recommendations(recs, X.catalogue(spark, sf))
+    return out.select("user_key", "rank", "item_id", "title",
+                      result_round("predicted_score").alias("predicted_score"),
+                      result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
 QUERIES = {
+    "ratings_canonical": ratings_canonical,
+    "popularity_filtered_counts": popularity_filtered_counts,
+    "item_stats": item_stats,
+    "foldin_rank2": foldin_rank2,
+    "foldin_pandas": foldin_pandas,
+    "recommend_rank2_top10": recommend_rank2_top10,
     "similar_top5": similar_top5,
 }
 
