@@ -18,6 +18,7 @@ REGULARIZATION = 0.1      # lambda, as in the reference defaults
 SEARCH_TERMS = ["an", "blu", "NVIL", "zzz"]
 QUOTA_WINDOW = "1 day"
 QUOTA_LIMIT = 2
+ITEM_BASE_URL = "/items/"
 
 
 def canonical(spark: SparkSession, sf: str) -> DataFrame:

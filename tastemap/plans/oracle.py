@@ -121,6 +121,129 @@ FROM ranked r JOIN catalogue c ON c.item_id = r.item_id
 WHERE r.rank <= 10
 """
 
+def _search(terms: str) -> str:
+    return "WITH " + CATALOGUE + f""",
+terms AS ({terms}),
+clean AS (SELECT q, lower(trim(q)) AS ql FROM terms WHERE length(trim(q)) >= 1),
+m AS (
+  SELECT t.q, c.item_id, c.title, c.average_rating, c.num_ratings,
+         CASE WHEN starts_with(lower(c.title), t.ql) THEN 1
+              WHEN contains(lower(c.title), ' ' || t.ql) THEN 2 ELSE 3 END AS tier
+  FROM clean t JOIN catalogue c ON contains(lower(c.title), t.ql)),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY tier, num_ratings DESC NULLS LAST, item_id)
+                 AS INTEGER) AS rank
+  FROM m)
+SELECT q, rank, item_id, title, {r6('average_rating')} AS average_rating, num_ratings, tier
+FROM r WHERE rank <= 10
+"""
+
+
+SEARCH_TOP10 = _search("SELECT * FROM (VALUES ('an'), ('blu'), ('NVIL'), ('zzz')) v(q)")
+
+SEARCH_TITLE_WORDS = _search("""
+  WITH words AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
+  SELECT DISTINCT q FROM (
+    SELECT w AS q FROM words WHERE length(w) > 0
+    UNION ALL SELECT upper(substr(w, 1, 3)) FROM words WHERE length(w) > 0)""")
+
+SIMILAR_REQUEST_STATUS = r"""
+WITH req AS (
+  SELECT event_id AS request_id,
+         CASE event_type
+           WHEN 'click' THEN json_extract_string(props, '$.k')
+           WHEN 'purchase' THEN ' ' || json_extract_string(props, '$.k') || ' '
+           WHEN 'view' THEN CAST(value AS VARCHAR)
+           WHEN 'error' THEN props END AS item_text
+  FROM events),
+parsed AS (
+  SELECT request_id, item_text,
+         CASE WHEN regexp_full_match(item_text, '\s*[+-]?[0-9]+\s*')
+              THEN CAST(trim(item_text) AS BIGINT) END AS item_id
+  FROM req),
+model AS (SELECT vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 0)
+SELECT request_id, item_id,
+       CASE WHEN item_text IS NULL OR length(trim(item_text)) = 0 THEN 'missing_id'
+            WHEN item_id IS NULL THEN 'invalid_id'
+            WHEN item_id NOT IN (SELECT item_id FROM model) THEN 'unknown_item'
+            WHEN item_id NOT IN (SELECT p_partkey FROM part) THEN 'not_found'
+            ELSE 'ok' END AS status
+FROM parsed
+"""
+
+RECOMMEND_REQUEST_STATUS = "WITH " + CANON + """,
+model AS (SELECT vec_id AS item_id FROM embeddings),
+per_user AS (
+  SELECT c.user_key, count(*) AS n_rated, count(m.item_id) AS n_known
+  FROM canon c LEFT JOIN model m ON m.item_id = c.item_id GROUP BY c.user_key)
+SELECT k.c_custkey AS request_id, k.c_custkey AS user_key,
+       coalesce(p.n_rated, 0) AS n_rated, coalesce(p.n_known, 0) AS n_known,
+       CASE WHEN k.c_custkey IS NULL THEN 'missing_user'
+            WHEN coalesce(p.n_rated, 0) = 0 THEN 'no_rated_items'
+            WHEN coalesce(p.n_known, 0) = 0 THEN 'no_known_items'
+            ELSE 'ok' END AS status
+FROM customer k LEFT JOIN per_user p ON p.user_key = k.c_custkey
+"""
+
+
+def _ranked_recs(n: int) -> str:
+    return "WITH " + FOLDIN_K2 + f""",
+stats AS (SELECT item_id, avg(rating) AS average_rating, count(*) AS num_ratings
+          FROM canon GROUP BY item_id),
+catalogue AS (SELECT p.p_partkey AS item_id, p.p_name AS title, s.average_rating,
+                     coalesce(s.num_ratings, 0) AS num_ratings
+              FROM part p LEFT JOIN stats s ON s.item_id = p.p_partkey),
+scores AS (
+  SELECT u.user_key, i.item_id, u.u0 * i.x0 + u.u1 * i.x1 AS predicted_score
+  FROM sol u CROSS JOIN items i
+  WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.user_key = u.user_key AND c.item_id = i.item_id)),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_key ORDER BY predicted_score DESC, item_id)
+                 AS INTEGER) AS rank
+  FROM scores),
+recs AS (
+  SELECT r.*, c.title, c.average_rating, c.num_ratings
+  FROM ranked r JOIN catalogue c ON c.item_id = r.item_id WHERE r.rank <= {n})"""
+
+
+def _text2(x: str) -> str:
+    return f"coalesce(printf('%.2f', sign({x}) * floor(abs({x}) * 100 + 0.5) / 100), 'N/A')"
+
+
+REPORT_PAGES = _ranked_recs(100) + f"""
+SELECT user_key, rank, CAST(floor((rank - 1) / 20) + 1 AS INTEGER) AS page,
+       CAST(ceil(count(*) OVER (PARTITION BY user_key) / 20) AS INTEGER) AS n_pages,
+       count(*) OVER (PARTITION BY user_key) AS total_items,
+       item_id, title,
+       {_text2('predicted_score')} AS predicted_text,
+       {_text2('average_rating')} AS average_text,
+       '/items/' || CAST(item_id AS VARCHAR) AS link
+FROM recs
+"""
+
+RESULT_ENVELOPE_COUNTS = _ranked_recs(10) + """
+SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
+       arg_max(item_id, rank) AS last_item_id, TRUE AS has_json
+FROM recs GROUP BY user_key
+"""
+
+LIST_PAGES_EXPLODED = "WITH " + RAW + """
+SELECT user_key, item_id, rating FROM raw WHERE rating > 0
+"""
+
+LIST_PAGES_SUMMARY = "WITH " + RAW + """
+SELECT user_key, CAST(ceil(count(*) / 1000) AS BIGINT) AS pages, count(*) AS entries,
+       count(*) FILTER (WHERE rating > 0) AS rated, TRUE AS complete
+FROM raw GROUP BY user_key
+"""
+
+QUOTA_DAILY = """
+SELECT user_id AS client, event_type AS endpoint, date_trunc('day', ts) AS window_start,
+       date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS calls,
+       CAST(2 AS BIGINT) AS quota
+FROM events GROUP BY ALL HAVING count(*) > 2
+"""
+
 ORACLE = {
     "ratings_canonical": RATINGS_CANONICAL,
     "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
@@ -129,4 +252,14 @@ ORACLE = {
     "foldin_pandas": FOLDIN_RANK2,
     "recommend_rank2_top10": RECOMMEND_RANK2_TOP10,
     "similar_top5": SIMILAR_TOP5,
+    "search_top10": SEARCH_TOP10,
+    "search_title_words": SEARCH_TITLE_WORDS,
+    "similar_request_status": SIMILAR_REQUEST_STATUS,
+    "recommend_request_status": RECOMMEND_REQUEST_STATUS,
+    "report_pages": REPORT_PAGES,
+    "result_envelope_counts": RESULT_ENVELOPE_COUNTS,
+    "list_pages_exploded": LIST_PAGES_EXPLODED,
+    "list_pages_summary": LIST_PAGES_SUMMARY,
+    "quota_daily": QUOTA_DAILY,
+    "quota_daily_stream": QUOTA_DAILY,
 }

@@ -14,8 +14,14 @@ from ..functions.numeric import result_round
 from ..operators import foldin as FI
 from ..operators import ratings as R
 from ..operators import recommend as RC
+from ..operators import report as RP
+from ..operators import requests as RQ
+from ..operators import search as SE
 from ..operators import similar as S
+from ..session import fresh_path
+from ..sources import json_pages as JP
 from ..sources import tables
+from ..streaming import quota as QT
 from . import fixtures as X
 
 
@@ -88,6 +94,117 @@ def recommend_rank2_top10(spark: SparkSession, sf: str) -> DataFrame:
                       result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
+def _search_out(res: DataFrame) -> DataFrame:
+    return res.select(F.col("qid").alias("q"), "rank", "item_id", "title",
+                      result_round("average_rating").alias("average_rating"), "num_ratings", "tier")
+
+
+def search_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """M7: the fixture's search texts against every title of the catalogue."""
+    terms = spark.createDataFrame([(t, t) for t in X.SEARCH_TERMS], "qid string, q string")
+    return _search_out(SE.search(terms, X.catalogue(spark, sf), n=10))
+
+
+def search_title_words(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 for a query table derived from the catalogue: every distinct title
+    word, and its first three letters in upper case."""
+    words = (tables.titles(spark, sf)
+             .select(F.explode(F.split("title", " ")).alias("w"))
+             .where(F.length("w") > 0))
+    terms = (words.select(F.col("w").alias("q"))
+             .union(words.select(F.upper(F.substring("w", 1, 3)).alias("q")))
+             .distinct()
+             .select(F.col("q").alias("qid"), "q"))
+    return _search_out(SE.search(terms, X.catalogue(spark, sf), n=10))
+
+
+def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Similar-item requests derived from the event log (one per event):
+    clicks carry the item of ``props.k``, purchases the same text padded with
+    blanks, views their value as text (not an integer), errors the raw props,
+    sign-ups no item at all."""
+    ev = tables.table(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k")
+    text = (F.when(F.col("event_type") == "click", k)
+            .when(F.col("event_type") == "purchase", F.concat(F.lit(" "), k, F.lit(" ")))
+            .when(F.col("event_type") == "view", F.col("value").cast("string"))
+            .when(F.col("event_type") == "error", F.col("props")))
+    return ev.select(F.col("event_id").alias("request_id"), text.alias("item_text"))
+
+
+def similar_request_status(spark: SparkSession, sf: str) -> DataFrame:
+    """P4 + P5 for a batch of similar-item requests."""
+    items, _ = X.similarity_factors(spark, sf)
+    out = RQ.validate_similar(similar_requests(spark, sf),
+                              items.select(F.col("id").alias("item_id")),
+                              tables.titles(spark, sf))
+    return out.select("request_id", "item_id", "status")
+
+
+def recommend_request_status(spark: SparkSession, sf: str) -> DataFrame:
+    """P5 for a recommendation request from every customer."""
+    reqs = tables.customers(spark, sf).select(F.col("user_key").alias("request_id"), "user_key")
+    model_items = X.foldin_item_factors(spark, sf).select("item_id")
+    return RQ.validate_recommend(reqs, X.canonical(spark, sf), model_items)
+
+
+def _recommendations(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    items = X.foldin_item_factors(spark, sf)
+    users = FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2)
+    return RC.enrich_recommendations(RC.recommend(users, items, n), X.catalogue(spark, sf))
+
+
+def report_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """P8-P11 + A9: the top 100 per user (the API's n) as 20-row report pages."""
+    return RP.recommendation_report(_recommendations(spark, sf, 100), X.ITEM_BASE_URL)
+
+
+def result_envelope_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """One envelope per user; its count, first and last entries."""
+    env = RP.envelope(_recommendations(spark, sf, 10), "user_key",
+                      ["item_id", "title", "predicted_score"], "recommendations")
+    recs = F.col("recommendations")
+    return env.select("user_key", "total_items",
+                      recs[0]["item_id"].alias("first_item_id"),
+                      F.element_at(recs, -1)["item_id"].alias("last_item_id"),
+                      (F.length("json") > 0).alias("has_json"))
+
+
+def _landed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "list_pages")
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    JP.land_pages(raw, path, spread_cols=("l_orderkey", "l_linenumber"))
+    return JP.read_pages(spark, path)
+
+
+def list_pages_exploded(spark: SparkSession, sf: str) -> DataFrame:
+    """S3: land every user's list as JSON pages, ingest them back."""
+    return JP.ingest(_landed_pages(spark, sf))
+
+
+def list_pages_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 + Q20: pages, entries and rated entries per user; list complete."""
+    return JP.page_summary(_landed_pages(spark, sf))
+
+
+def quota_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 in batch: calls per client, endpoint and day over the quota."""
+    return QT.over_quota(tables.request_log(spark, sf), X.QUOTA_WINDOW, X.QUOTA_LIMIT)
+
+
+def quota_daily_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 in Structured Streaming over the event log, available-now trigger."""
+    schema = tables.table(spark, sf, "events").schema
+    source = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .parquet(sf)
+              .select(F.col("ts").cast("timestamp").alias("ts"),
+                      F.col("user_id").alias("client"), F.col("event_type").alias("endpoint")))
+    base = fresh_path(spark, "quota_stream")
+    q = QT.run_stream(spark, source, f"{base}/out", f"{base}/checkpoint", X.QUOTA_WINDOW)
+    q.awaitTermination()
+    return QT.read_stream_result(spark, f"{base}/out", X.QUOTA_LIMIT)
+
+
 QUERIES = {
     "ratings_canonical": ratings_canonical,
     "popularity_filtered_counts": popularity_filtered_counts,
@@ -96,6 +213,16 @@ QUERIES = {
     "foldin_pandas": foldin_pandas,
     "recommend_rank2_top10": recommend_rank2_top10,
     "similar_top5": similar_top5,
+    "search_top10": search_top10,
+    "search_title_words": search_title_words,
+    "similar_request_status": similar_request_status,
+    "recommend_request_status": recommend_request_status,
+    "report_pages": report_pages,
+    "result_envelope_counts": result_envelope_counts,
+    "list_pages_exploded": list_pages_exploded,
+    "list_pages_summary": list_pages_summary,
+    "quota_daily": quota_daily,
+    "quota_daily_stream": quota_daily_stream,
 }
 
 
