@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ratings as R
+from ..operators.train import ALSParams
 from ..sources import tables
 
 # Fixed values of the fixture mapping (FIXTURES.md §2).
@@ -19,6 +20,9 @@ SEARCH_TERMS = ["an", "blu", "NVIL", "zzz"]
 QUOTA_WINDOW = "1 day"
 QUOTA_LIMIT = 2
 ITEM_BASE_URL = "/items/"
+# ALS at the fixture scale: rank 8, 5 iterations, fixed seed.
+ALS_PARAMS = ALSParams(factors=8, iterations=5, regularization=0.1,
+                       min_ratings=MIN_RATINGS, seed=42, checkpoint_interval=2)
 
 
 def canonical(spark: SparkSession, sf: str) -> DataFrame:

@@ -244,6 +244,44 @@ SELECT user_id AS client, event_type AS endpoint, date_trunc('day', ts) AS windo
 FROM events GROUP BY ALL HAVING count(*) > 2
 """
 
+TRAIN = "WITH " + CANON + """,
+popular AS (SELECT item_id FROM raw GROUP BY item_id HAVING count(*) >= 30),
+train AS (SELECT * FROM canon WHERE item_id IN (SELECT item_id FROM popular))"""
+
+DENSE_INDEX_USERS = "WITH " + CANON + """
+SELECT user_key, CAST(row_number() OVER (ORDER BY user_key) - 1 AS INTEGER) AS user
+FROM (SELECT DISTINCT user_key FROM canon)
+"""
+
+TRAINING_TRIPLES_ROUNDTRIP = TRAIN + """,
+ui AS (SELECT user_key, row_number() OVER (ORDER BY user_key) - 1 AS user
+       FROM (SELECT DISTINCT user_key FROM train)),
+ii AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item
+       FROM (SELECT DISTINCT item_id FROM train))
+SELECT CAST(ui.user AS INTEGER) AS user, CAST(ii.item AS INTEGER) AS item,
+       CAST(t.rating AS FLOAT) AS rating
+FROM train t JOIN ui ON ui.user_key = t.user_key JOIN ii ON ii.item_id = t.item_id
+"""
+
+ALS_STATIONARY = TRAIN + """
+SELECT user_key, count(*) AS n, TRUE AS ok FROM train GROUP BY user_key
+"""
+
+ALS_MODEL_CHECKS = TRAIN + """
+SELECT count(DISTINCT item_id) AS n_index, count(DISTINCT item_id) AS n_factors,
+       0::BIGINT AS missing, 0::BIGINT AS orphans, 0::BIGINT AS bad_length
+FROM train
+"""
+
+MODEL_CHECKS_EMBEDDINGS = """
+SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS n_index,
+       (SELECT count(*) FROM embeddings) AS n_factors,
+       (SELECT count(*) FROM (SELECT DISTINCT p_partkey FROM part) p
+         WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)) AS missing,
+       (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)) AS orphans,
+       (SELECT count(*) FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64) AS bad_length
+"""
+
 ORACLE = {
     "ratings_canonical": RATINGS_CANONICAL,
     "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
@@ -262,4 +300,9 @@ ORACLE = {
     "list_pages_summary": LIST_PAGES_SUMMARY,
     "quota_daily": QUOTA_DAILY,
     "quota_daily_stream": QUOTA_DAILY,
+    "dense_index_users": DENSE_INDEX_USERS,
+    "training_triples_roundtrip": TRAINING_TRIPLES_ROUNDTRIP,
+    "als_stationary": ALS_STATIONARY,
+    "als_model_checks": ALS_MODEL_CHECKS,
+    "model_checks_embeddings": MODEL_CHECKS_EMBEDDINGS,
 }

@@ -18,11 +18,13 @@ from ..operators import report as RP
 from ..operators import requests as RQ
 from ..operators import search as SE
 from ..operators import similar as S
+from ..operators import train as TR
 from ..session import fresh_path
 from ..sources import json_pages as JP
 from ..sources import tables
 from ..streaming import quota as QT
 from . import fixtures as X
+from .jobs import Snapshot, train_snapshot
 
 
 def similar_top5(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +207,72 @@ def quota_daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     return QT.read_stream_result(spark, f"{base}/out", X.QUOTA_LIMIT)
 
 
+def dense_index_users(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: every rating user -> dense index in key order."""
+    return R.dense_index(X.canonical(spark, sf), "user_key", "user")
+
+
+def _trained(spark: SparkSession, sf: str) -> Snapshot:
+    root = fresh_path(spark, "models")
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    run = train_snapshot(spark, raw, root, X.ALS_PARAMS, force=True)
+    return Snapshot(spark, root, run)
+
+
+def training_triples_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 + S5 + S6: training triples written to and read back from a snapshot."""
+    snap = _trained(spark, sf)
+    return snap.table("triples")
+
+
+def als_stationary(spark: SparkSession, sf: str) -> DataFrame:
+    """M1-M3 property: folding every training user back in over the trained
+    item factors reproduces their ALS user factor (``ok``), with ``n`` the
+    user's training ratings.  The SQL side gives the count and TRUE."""
+    snap = _trained(spark, sf)
+    k = X.ALS_PARAMS.factors
+    triples = snap.table("triples").select(
+        F.col("user").alias("user_key"), F.col("item").alias("item_id"), "rating")
+    items = snap.table("item_factors").select(
+        F.col("id").alias("item_id"), F.col("features").cast("array<double>").alias("features"))
+    folded = FI.foldin(triples, items, X.ALS_PARAMS.regularization, k, closed_form=False)
+    users = snap.table("user_factors").select(
+        F.col("id").alias("user_key"), F.col("features").cast("array<double>").alias("trained"))
+    diff = F.array_max(F.zip_with("features", "trained", lambda a, b: F.abs(a - b)))
+    size = F.array_max(F.transform("trained", lambda x: F.abs(x)))
+    checked = folded.join(users, "user_key").select(
+        "user_key", "n", (diff <= F.lit(1e-4) * (1 + size)).alias("ok"))
+    index = snap.table("user_index")
+    return (checked.join(index, checked.user_key == index.user)
+            .select(index.user_key, "n", "ok"))
+
+
+def als_model_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 on a trained snapshot: item index against item factors."""
+    snap = _trained(spark, sf)
+    return TR.model_checks(snap.table("item_index"), snap.table("item_factors"),
+                           X.ALS_PARAMS.factors)
+
+
+def model_checks_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """M8 on the fixture model: catalogue items against the embedding vectors."""
+    index = tables.titles(spark, sf).select(F.col("item_id").alias("item"))
+    return TR.model_checks(index, tables.embedding_vectors(spark, sf), 64)
+
+
+def als_recommend_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole flow: train ALS into a snapshot, fold every user in over the
+    trained item factors, top 10 unrated items per user, catalogue rows."""
+    snap = _trained(spark, sf)
+    items = snap.item_vectors()
+    users = FI.foldin(X.canonical(spark, sf), items, X.ALS_PARAMS.regularization,
+                      X.ALS_PARAMS.factors)
+    recs = RC.enrich_recommendations(RC.recommend(users, items, 10), X.catalogue(spark, sf))
+    return recs.select("user_key", "rank", "item_id", "title",
+                       result_round("predicted_score").alias("predicted_score"),
+                       result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
 QUERIES = {
     "ratings_canonical": ratings_canonical,
     "popularity_filtered_counts": popularity_filtered_counts,
@@ -223,8 +291,14 @@ QUERIES = {
     "list_pages_summary": list_pages_summary,
     "quota_daily": quota_daily,
     "quota_daily_stream": quota_daily_stream,
+    "dense_index_users": dense_index_users,
+    "training_triples_roundtrip": training_triples_roundtrip,
+    "als_stationary": als_stationary,
+    "als_model_checks": als_model_checks,
+    "model_checks_embeddings": model_checks_embeddings,
+    "als_recommend_top10": als_recommend_top10,
 }
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_top5(spark, sf)
+    return als_recommend_top10(spark, sf)
