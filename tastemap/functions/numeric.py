@@ -29,5 +29,10 @@ def result_round(x) -> Column:
 
 
 def score_text(x, digits: int = 2, missing: str = "N/A") -> Column:
-    """Fixed-point text of a score, or ``missing`` when null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", round_half_up(x, digits)), F.lit(missing))
+    """Fixed-point text of a score, or ``missing`` when null.
+
+    ``format_string`` prints a null argument as text, so nulls are tested first.
+    """
+    x = _c(x)
+    return F.when(x.isNull(), F.lit(missing)).otherwise(
+        F.format_string(f"%.{digits}f", round_half_up(x, digits)))

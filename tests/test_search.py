@@ -1,0 +1,76 @@
+import random
+
+from tastemap.operators import search as SE
+
+
+def catalogue(spark, titles, ratings=None):
+    rows = [(i, t, None, (ratings or {}).get(i, 0)) for i, t in enumerate(titles)]
+    return spark.createDataFrame(rows, "item_id long, title string, average_rating double, num_ratings long")
+
+
+def run(spark, titles, queries, n=10, min_len=1, ratings=None):
+    q = spark.createDataFrame([(str(i), s) for i, s in enumerate(queries)], "qid string, q string")
+    res = SE.search(q, catalogue(spark, titles, ratings), n=n, min_len=min_len).collect()
+    out = {}
+    for r in sorted(res, key=lambda r: (r.qid, r["rank"])):
+        out.setdefault(queries[int(r.qid)], []).append((r.item_id, r.tier))
+    return out
+
+
+def brute(titles, query, n, ratings=None):
+    ql = query.strip().lower()
+    if not ql:
+        return None
+    hits = []
+    for i, t in enumerate(titles):
+        tl = t.lower()
+        if ql in tl:
+            tier = 1 if tl.startswith(ql) else 2 if (" " + ql) in tl else 3
+            hits.append((tier, -(ratings or {}).get(i, 0), i))
+    hits.sort()
+    return [(i, tier) for tier, _, i in hits[:n]] or None
+
+
+def test_tiers_and_order(spark):
+    titles = ["blue anvil", "anvil red", "old banana", "anvil", "plan b"]
+    ratings = {0: 5, 1: 9, 3: 1, 2: 3, 4: 2}
+    got = run(spark, titles, ["an", "ANVIL"], ratings=ratings)
+    assert got["an"] == [(1, 1), (3, 1), (0, 2), (2, 3), (4, 3)]
+    assert got["ANVIL"] == [(1, 1), (3, 1), (0, 2)]
+
+
+def test_special_characters_are_literal(spark):
+    titles = ["100% pure", "a_b", "back\\slash", "abc", "x%y"]
+    got = run(spark, titles, ["%", "_", "\\", "0%"])
+    assert got["%"] == [(0, 3), (4, 3)]
+    assert got["_"] == [(1, 3)]
+    assert got["\\"] == [(2, 3)]
+    assert got["0%"] == [(0, 3)]
+
+
+def test_blank_query_no_rows_and_trim(spark):
+    got = run(spark, ["blue"], ["   ", "\t blu \n"])
+    assert "   " not in got
+    assert got["\t blu \n"] == [(0, 1)]
+
+
+def test_unicode_fold(spark):
+    got = run(spark, ["Élan vital", "café noir"], ["éLAN", "CAFÉ"])
+    assert got["éLAN"] == [(0, 1)]
+    assert got["CAFÉ"] == [(1, 1)]
+
+
+def test_min_len(spark):
+    got = run(spark, ["ab"], ["a", "ab"], min_len=2)
+    assert "a" not in got and got["ab"] == [(0, 1)]
+
+
+def test_random_against_brute_force(spark):
+    rnd = random.Random(3)
+    words = ["an", "ban", "nab", "bnana", "a", "b", "nn"]
+    titles = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 3))) for _ in range(80)]
+    ratings = {i: rnd.randint(0, 5) for i in range(80)}
+    queries = sorted({rnd.choice(["a", "an", "na", "ban", "b n", "nab a", "zz", "N"]) for _ in range(30)})
+    got = run(spark, titles, queries, n=6, ratings=ratings)
+    for q in queries:
+        assert got.get(q) == brute(titles, q, 6, ratings), q
