@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .broadcast import sized_broadcast
 
-# Write order of the fixture: the last rating of a (user, item) pair is the
-# one with the greatest (l_orderkey, l_linenumber, l_quantity).
-ORDER_COLS = ("l_orderkey", "l_linenumber", "l_quantity")
+# The write order: the last rating of a (user, item) pair is the one with the
+# greatest value of these columns (one long here, see sources.tables.write_seq).
+ORDER_COLS = ("seq",)
 
 
 def rated_only(ratings: DataFrame) -> DataFrame:
@@ -30,9 +30,12 @@ def canonical_ratings(raw_with_order: DataFrame, order_cols=ORDER_COLS) -> DataF
     """A7 after P1: one row per (user, item), the last rating written wins.
 
     ``max_by`` is an ordinary aggregate, so a pair repeated in many rows is
-    combined map-side before the shuffle.
+    combined map-side before the shuffle.  With one order column it runs as a
+    hash aggregate; several columns are compared as a struct (sort aggregate).
     """
-    last = F.max_by("rating", F.struct(*[F.col(c) for c in order_cols]))
+    order = (F.col(order_cols[0]) if len(order_cols) == 1
+             else F.struct(*[F.col(c) for c in order_cols]))
+    last = F.max_by("rating", order)
     return (rated_only(raw_with_order)
             .groupBy("user_key", "item_id")
             .agg(last.alias("rating")))

@@ -26,7 +26,7 @@ ALS_PARAMS = ALSParams(factors=8, iterations=5, regularization=0.1,
 
 
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
-    return R.canonical_ratings(tables.raw_ratings(spark, sf, with_order=True))
+    return R.canonical_ratings(tables.raw_ratings(spark, sf, with_order=True, rated=True))
 
 
 def catalogue(spark: SparkSession, sf: str) -> DataFrame:

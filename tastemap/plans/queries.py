@@ -175,7 +175,7 @@ def result_envelope_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _landed_pages(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "list_pages")
     raw = tables.raw_ratings(spark, sf, with_order=True)
-    JP.land_pages(raw, path, spread_cols=("l_orderkey", "l_linenumber"))
+    JP.land_pages(raw, path, spread_cols=("seq",))
     return JP.read_pages(spark, path)
 
 

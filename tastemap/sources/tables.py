@@ -26,15 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def raw_ratings(spark: SparkSession, sf_dir: str, with_order: bool = False) -> DataFrame:
-    """All rating rows, zeros (listed, not rated) and duplicates included.
-
-    ``with_order`` keeps ``(l_orderkey, l_linenumber, l_quantity)``, the write
-    order used to pick the last rating of a repeated (user, item) pair.
+def write_seq() -> "F.Column":
+    """The write order ``(l_orderkey, l_linenumber, l_quantity)`` packed into one
+    long, so "last write wins" is a ``max_by`` over a fixed-width key (hash
+    aggregation, not sort aggregation).  Lines are numbered 1-7 and quantities
+    are whole numbers up to 50 in this data; a row outside the packing range
+    fails the job instead of being ordered wrongly.
+    """
+    ok, ln, q = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")
+    fits = (ln.between(0, 7) & q.between(0, 63) & (q == F.floor(q))
+            & ok.between(0, (1 << 54) - 1))
+    packed = (ok * 8 + ln) * 64 + q.cast("long")
+    return F.when(fits, packed).otherwise(
+        F.raise_error(F.lit("write order out of packing range")).cast("long"))
+
+
+def raw_ratings(spark: SparkSession, sf_dir: str, with_order: bool = False,
+                rated: bool = False) -> DataFrame:
+    """Rating rows, zeros (listed, not rated) and duplicates included.
+
+    ``with_order`` adds ``seq``, the write order used to pick the last rating
+    of a repeated (user, item) pair.  ``rated`` keeps rated rows only, stated
+    on the stored column (``l_quantity >= RATING_STEP``, the same as
+    ``rating > 0``) so the parquet scan receives it as a pushed filter.
     """
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"
     )
+    if rated:
+        line = line.where(F.col("l_quantity") >= RATING_STEP)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     joined = line.join(orders, line.l_orderkey == orders.o_orderkey)
     cols = [
@@ -43,7 +63,7 @@ def raw_ratings(spark: SparkSession, sf_dir: str, with_order: bool = False) -> D
         F.floor(F.col("l_quantity") / RATING_STEP).cast("int").alias("rating"),
     ]
     if with_order:
-        cols += [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")]
+        cols.append(write_seq().alias("seq"))
     return joined.select(*cols)
 
 

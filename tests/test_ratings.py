@@ -6,7 +6,10 @@ RAW = "user_key long, item_id long, rating int, l_orderkey long, l_linenumber in
 
 
 def raw_df(spark, rows):
-    return spark.createDataFrame(rows, RAW)
+    """Rows with the composite write order, plus ``seq`` packed as the source does."""
+    df = spark.createDataFrame(rows, RAW)
+    return df.withColumn("seq", (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64
+                         + F.col("l_quantity").cast("long"))
 
 
 def test_zero_only_item_passes_popularity_but_not_training(spark):
@@ -36,6 +39,24 @@ def test_dedupe_ties_on_order_use_quantity(spark):
     assert out[0].rating == 3
 
 
+def test_dedupe_on_composite_order_columns(spark):
+    rows = [(1, 5, 2, 10, 1, 10.0), (1, 5, 9, 11, 1, 45.0), (1, 5, 4, 10, 2, 20.0),
+            (2, 5, 7, 3, 9, 35.0), (2, 5, 1, 3, 2, 5.0)]
+    cols = ("l_orderkey", "l_linenumber", "l_quantity")
+    out = sorted((r.user_key, r.rating) for r in R.canonical_ratings(raw_df(spark, rows), cols).collect())
+    assert out == [(1, 9), (2, 7)]
+
+
+def test_write_seq_guards_packing_range(spark):
+    import pytest
+    from tastemap.sources.tables import write_seq
+    ok = spark.createDataFrame([(1, 7, 50.0)], "l_orderkey long, l_linenumber int, l_quantity double")
+    assert ok.select(write_seq()).first()[0] == (1 * 8 + 7) * 64 + 50
+    bad = spark.createDataFrame([(1, 9, 5.0)], "l_orderkey long, l_linenumber int, l_quantity double")
+    with pytest.raises(Exception, match="packing range"):
+        bad.select(write_seq()).collect()
+
+
 def test_dataset_counts_one_pass(spark):
     rows = [(1, 1, 3, 1, 1, 1.0), (1, 2, 3, 1, 2, 1.0), (2, 2, 3, 2, 1, 1.0)]
     c = R.dataset_counts(raw_df(spark, rows)).first()
