@@ -91,3 +91,16 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("client"),
         F.col("event_type").alias("endpoint"),
     )
+
+
+def jdbc_ratings(spark: SparkSession, url: str, table_name: str, partition_column: str,
+                 lower: int, upper: int, partitions: int, properties: dict | None = None) -> DataFrame:
+    """S1 from a database: a partitioned JDBC read, ``partitions`` parallel range
+    queries on ``partition_column`` (the database's driver must be on the
+    classpath).  Columns: ``user_key, item_id, rating``."""
+    return (spark.read.format("jdbc")
+            .options(url=url, dbtable=table_name, partitionColumn=partition_column,
+                     lowerBound=str(lower), upperBound=str(upper),
+                     numPartitions=str(partitions), **(properties or {}))
+            .load()
+            .select("user_key", "item_id", F.col("rating").cast("int")))
