@@ -31,8 +31,9 @@ def parse_int(x) -> Column:
 
 
 def grams(x, size: int) -> Column:
-    """All substrings of ``size`` characters, as an array (empty when shorter)."""
-    x = _c(x)
-    n = F.length(x) - F.lit(size - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(x, i, size))) \
-        .otherwise(F.array().cast("array<string>"))
+    """All substrings of ``size`` characters, as an array (empty when shorter).
+
+    One regex pass with a look-ahead group yields every overlapping gram; no
+    lambda captures the text (that would redo the text's expression per gram).
+    """
+    return F.regexp_extract_all(_c(x), F.lit(f"(?s)(?=(.{{{size}}}))"), 1)

@@ -1,15 +1,24 @@
 """Vector column functions on ``array<double>`` columns.
 
-All of these are built-in higher-order functions, so they run in the JVM on
-every row without a Python round trip.  Sums go left to right over the
-positions, which is also how the SQL oracle adds them.
+``dot``, ``norm``, ``scale`` and ``mean_vector`` are built-in higher-order
+functions or aggregates that run in the JVM.  An operation that needs a
+per-row scalar inside a lambda (``v / |v|``, ``v - (v.d) d``) is O(k^2) per
+row as a higher-order function, because the optimizer inlines the scalar
+into the lambda; those run as one Arrow-batched pandas function over whole
+batches instead (``unit_projection``), O(k) per row in NumPy.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: a projected vector shorter than this fraction of its original
+# length counts as zero (parallel to the direction, Q7).
+PARALLEL_TOL = 1e-9
+
 
 def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
@@ -40,14 +49,33 @@ def scale(v, s) -> Column:
 
 
 def normalise(v) -> Column:
+    """``v / |v|`` as a higher-order function: for one-row tables (the
+    direction); O(k^2) per row, see ``unit_projection`` for tables."""
     n = norm(v)
     return F.transform(_c(v), lambda x: x / n)
 
 
-def project_off(v, d) -> Column:
-    """``v - (v . d) d`` for a unit direction ``d``: removes the shared taste axis."""
-    k = dot(v, d)
-    return F.zip_with(_c(v), _c(d), lambda x, y: x - k * y)
+def unit_projection(v, direction) -> Column:
+    """``(v - (v . d) d) / |v - (v . d) d|`` for a unit direction ``d`` (a
+    sequence of k floats); null when the projection vanishes (v parallel to d).
+
+    One pandas function over Arrow batches: the batch is stacked into an
+    n x k matrix and projected, measured and scaled in three NumPy steps.
+    """
+    d = np.asarray(direction, dtype=np.float64)
+
+    @F.pandas_udf("array<double>")
+    def project(col: pd.Series) -> pd.Series:
+        if len(col) == 0:
+            return pd.Series([], dtype=object)
+        m = np.stack([np.asarray(x, dtype=np.float64) for x in col])
+        p = m - np.outer(m @ d, d)
+        n = np.linalg.norm(p, axis=1)
+        keep = n > PARALLEL_TOL * np.linalg.norm(m, axis=1)
+        units = p / np.where(keep, n, 1.0)[:, None]
+        return pd.Series([u if ok else None for u, ok in zip(units, keep)], dtype=object)
+
+    return project(as_doubles(v))
 
 
 def mean_vector(df: DataFrame, vec: str) -> DataFrame:

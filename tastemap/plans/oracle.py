@@ -45,11 +45,13 @@ per_pos AS (
 mean AS (SELECT list(m ORDER BY pos) AS mv FROM per_pos),
 dir AS (SELECT list_transform(mv, lambda x: x / sqrt(list_sum(list_transform(mv, lambda y: y * y)))) AS d FROM mean),
 proj AS (
-  SELECT id, list_transform(v, lambda x, i: x - list_sum(list_transform(v, lambda a, j: a * d[j])) * d[i]) AS p
+  SELECT id, v, list_transform(v, lambda x, i: x - list_sum(list_transform(v, lambda a, j: a * d[j])) * d[i]) AS p
   FROM items, dir),
 units AS (
   SELECT id, list_transform(p, lambda x: x / sqrt(list_sum(list_transform(p, lambda y: y * y)))) AS u
-  FROM proj WHERE sqrt(list_sum(list_transform(p, lambda y: y * y))) > 0),
+  FROM proj
+  WHERE sqrt(list_sum(list_transform(p, lambda y: y * y)))
+        > 1e-9 * sqrt(list_sum(list_transform(v, lambda y: y * y)))),
 pairs AS (
   SELECT a.id AS src_id, b.id AS item_id,
          list_sum(list_transform(a.u, lambda x, i: x * b.u[i])) AS similarity
