@@ -11,6 +11,11 @@ def r6(x: str) -> str:
     return f"(sign({x}) * floor(abs({x}) * 1e6 + 0.5) / 1e6)"
 
 
+def _text2_sql(x: str) -> str:
+    """Two-place text, half up on the IEEE value, or N/A for null."""
+    return f"coalesce(printf('%.2f', sign({x}) * floor(abs({x}) * 100 + 0.5) / 100), 'N/A')"
+
+
 # Shared views: ratings from lineitem x orders, canonical ratings, catalogue.
 RAW = """
 raw AS (
@@ -35,7 +40,7 @@ catalogue AS (
   FROM part p LEFT JOIN stats s ON s.item_id = p.p_partkey)"""
 
 
-SIMILAR_TOP5 = "WITH " + CATALOGUE + f""",
+SIMILAR_RANKED = "WITH " + CATALOGUE + """,
 users AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 1),
 items AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 2 = 0),
 per_pos AS (
@@ -58,13 +63,24 @@ pairs AS (
   FROM units a JOIN units b ON a.id <> b.id),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY src_id ORDER BY similarity DESC, item_id) AS INTEGER) AS rank
-  FROM pairs)
+  FROM pairs)"""
+
+SIMILAR_TOP5 = SIMILAR_RANKED + f"""
 SELECT r.src_id, s.title AS src_title, r.rank, r.item_id, c.title,
        {r6('r.similarity')} AS similarity, {r6('c.average_rating')} AS average_rating, c.num_ratings
 FROM ranked r JOIN catalogue c ON c.item_id = r.item_id JOIN catalogue s ON s.item_id = r.src_id
 WHERE r.rank <= 5
 """
 
+SIMILAR_REPORT = SIMILAR_RANKED + f"""
+SELECT r.src_id, s.title AS src_title, r.rank, r.item_id, c.title,
+       sign(r.similarity) * floor(abs(r.similarity) * 1000 + 0.5) / 1000 AS similarity_3dp,
+       {_text2_sql('c.average_rating')} AS average_text,
+       '/items/' || CAST(r.item_id AS VARCHAR) AS link
+FROM ranked r JOIN catalogue c ON c.item_id = r.item_id JOIN catalogue s ON s.item_id = r.src_id
+WHERE r.rank <= 20
+"""
+
 
 RATINGS_CANONICAL = "WITH " + CANON + """
 SELECT user_key, item_id, rating FROM canon
@@ -215,6 +231,8 @@ def _text2(x: str) -> str:
 REPORT_PAGES = _ranked_recs(100) + f"""
 SELECT user_key, rank, CAST(floor((rank - 1) / 20) + 1 AS INTEGER) AS page,
        CAST(ceil(count(*) OVER (PARTITION BY user_key) / 20) AS INTEGER) AS n_pages,
+       CAST(least((floor((rank - 1) / 20) + 1) * 20, count(*) OVER (PARTITION BY user_key))
+            AS BIGINT) AS page_end,
        count(*) OVER (PARTITION BY user_key) AS total_items,
        item_id, title,
        {_text2('predicted_score')} AS predicted_text,
@@ -292,6 +310,7 @@ ORACLE = {
     "foldin_pandas": FOLDIN_RANK2,
     "recommend_rank2_top10": RECOMMEND_RANK2_TOP10,
     "similar_top5": SIMILAR_TOP5,
+    "similar_report": SIMILAR_REPORT,
     "search_top10": SEARCH_TOP10,
     "search_title_words": SEARCH_TITLE_WORDS,
     "similar_request_status": SIMILAR_REQUEST_STATUS,

@@ -273,6 +273,14 @@ def als_recommend_top10(spark: SparkSession, sf: str) -> DataFrame:
                        result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
+def similar_report(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 + P10: the top 20 per item (the API's n) as report text."""
+    items, users = X.similarity_factors(spark, sf)
+    units = S.projected_units(items, V.mean_direction(users, "features"))
+    sim = S.enrich_similar(S.similar_items(units, 20), X.catalogue(spark, sf))
+    return RP.similar_report(sim, X.ITEM_BASE_URL)
+
+
 QUERIES = {
     "ratings_canonical": ratings_canonical,
     "popularity_filtered_counts": popularity_filtered_counts,
@@ -281,6 +289,7 @@ QUERIES = {
     "foldin_pandas": foldin_pandas,
     "recommend_rank2_top10": recommend_rank2_top10,
     "similar_top5": similar_top5,
+    "similar_report": similar_report,
     "search_top10": search_top10,
     "search_title_words": search_title_words,
     "similar_request_status": similar_request_status,
