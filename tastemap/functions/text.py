@@ -20,14 +20,16 @@ def fold(x) -> Column:
     return F.lower(_c(x))
 
 
-# Fixed value: the integer text a request may carry (optional blanks and sign, digits).
-INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
+# Fixed value: the integer text a request may carry, as Python's int() reads it:
+# optional blanks and sign, digits, single underscores between digits.
+INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 
 
 def parse_int(x) -> Column:
     """Lenient integer parse: the integer, or null when the text is no integer."""
     x = _c(x)
-    return F.when(x.rlike(INT_TEXT), F.trim(x).cast("long"))
+    digits = F.regexp_replace(F.regexp_replace(x, r"\s", ""), "_", "")
+    return F.when(x.rlike(INT_TEXT), digits.cast("long"))
 
 
 def grams(x, size: int) -> Column:

@@ -176,8 +176,9 @@ WITH req AS (
   FROM events),
 parsed AS (
   SELECT request_id, item_text,
-         CASE WHEN regexp_full_match(item_text, '\s*[+-]?[0-9]+\s*')
-              THEN CAST(trim(item_text) AS BIGINT) END AS item_id
+         CASE WHEN regexp_full_match(item_text, '\s*[+-]?[0-9]+(_[0-9]+)*\s*')
+              THEN CAST(replace(regexp_replace(item_text, '\s', '', 'g'), '_', '') AS BIGINT)
+         END AS item_id
   FROM req),
 model AS (SELECT vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 0)
 SELECT request_id, item_id,
