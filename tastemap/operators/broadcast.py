@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES,
+def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None,
                    rows: int | None = None) -> bool:
-    """True when ``rows * row_bytes`` (rows counted by one job if not given) is within ``limit``."""
+    """True when ``rows * row_bytes`` (rows counted by one job if not given) is
+    within ``limit`` (default ``BROADCAST_LIMIT_BYTES``)."""
+    limit = BROADCAST_LIMIT_BYTES if limit is None else limit
     if rows is None:
         rows = df.count()
     return rows * row_bytes <= limit
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES,
+def sized_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None,
                     rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` when ``rows * row_bytes`` is within ``limit``.
 

@@ -303,6 +303,14 @@ SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS n_index,
        (SELECT count(*) FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64) AS bad_length
 """
 
+QUOTA_HOURLY_BY_ENDPOINT = """
+SELECT user_id AS client, event_type AS endpoint, date_trunc('hour', ts) AS window_start,
+       date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS calls,
+       CAST(CASE WHEN event_type = 'signup' THEN 2 ELSE 1 END AS BIGINT) AS quota
+FROM events GROUP BY ALL
+HAVING count(*) > CASE WHEN event_type = 'signup' THEN 2 ELSE 1 END
+"""
+
 ORACLE = {
     "ratings_canonical": RATINGS_CANONICAL,
     "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
@@ -320,8 +328,10 @@ ORACLE = {
     "result_envelope_counts": RESULT_ENVELOPE_COUNTS,
     "list_pages_exploded": LIST_PAGES_EXPLODED,
     "list_pages_summary": LIST_PAGES_SUMMARY,
+    "list_pages_stream": LIST_PAGES_EXPLODED,
     "quota_daily": QUOTA_DAILY,
     "quota_daily_stream": QUOTA_DAILY,
+    "quota_hourly_by_endpoint": QUOTA_HOURLY_BY_ENDPOINT,
     "dense_index_users": DENSE_INDEX_USERS,
     "training_triples_roundtrip": TRAINING_TRIPLES_ROUNDTRIP,
     "als_stationary": ALS_STATIONARY,

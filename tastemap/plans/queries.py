@@ -22,6 +22,7 @@ from ..operators import train as TR
 from ..session import fresh_path
 from ..sources import json_pages as JP
 from ..sources import tables
+from ..streaming import pages as PS
 from ..streaming import quota as QT
 from . import fixtures as X
 from .jobs import Snapshot, train_snapshot
@@ -172,11 +173,24 @@ def result_envelope_counts(spark: SparkSession, sf: str) -> DataFrame:
                       (F.length("json") > 0).alias("has_json"))
 
 
-def _landed_pages(spark: SparkSession, sf: str) -> DataFrame:
+def _land(spark: SparkSession, sf: str) -> str:
     path = fresh_path(spark, "list_pages")
     raw = tables.raw_ratings(spark, sf, with_order=True)
-    JP.land_pages(raw, path, spread_cols=("seq",))
-    return JP.read_pages(spark, path)
+    return JP.land_pages(raw, path, spread_cols=("seq",))
+
+
+def _landed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return JP.read_pages(spark, _land(spark, sf))
+
+
+def list_pages_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 in Structured Streaming: landed pages ingested by a file stream into a
+    parquet sink (available-now trigger), read back from the sink."""
+    landing = _land(spark, sf)
+    base = fresh_path(spark, "list_pages_stream")
+    q = PS.run_ingest(spark, landing, f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
 
 
 def list_pages_exploded(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,6 +208,16 @@ def quota_daily(spark: SparkSession, sf: str) -> DataFrame:
     return QT.over_quota(tables.request_log(spark, sf), X.QUOTA_WINDOW, X.QUOTA_LIMIT)
 
 
+def quota_hourly_by_endpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 with a quota per endpoint (as the reference limits each route):
+    hourly windows; sign-ups may come twice an hour, the rest once."""
+    log = tables.request_log(spark, sf)
+    quotas = (log.select("endpoint").distinct()
+              .select("endpoint", F.when(F.col("endpoint") == "signup", 2).otherwise(1)
+                      .cast("long").alias("quota")))
+    return QT.over_quota(log, "1 hour", quotas)
+
+
 def quota_daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     """T1 in Structured Streaming over the event log, available-now trigger."""
     schema = tables.table(spark, sf, "events").schema
@@ -298,8 +322,10 @@ QUERIES = {
     "result_envelope_counts": result_envelope_counts,
     "list_pages_exploded": list_pages_exploded,
     "list_pages_summary": list_pages_summary,
+    "list_pages_stream": list_pages_stream,
     "quota_daily": quota_daily,
     "quota_daily_stream": quota_daily_stream,
+    "quota_hourly_by_endpoint": quota_hourly_by_endpoint,
     "dense_index_users": dense_index_users,
     "training_triples_roundtrip": training_triples_roundtrip,
     "als_stationary": als_stationary,

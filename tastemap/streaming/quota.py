@@ -16,13 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.broadcast import sized_broadcast
+
 KEYS = ["client", "endpoint", "window_start", "window_end"]
 
 
 def _with_quota(counts: DataFrame, quota) -> DataFrame:
-    """``quota`` is a number, or a small ``(endpoint, quota)`` table (one row per endpoint)."""
+    """``quota`` is a number, or an ``(endpoint, quota)`` table (one row per
+    endpoint, broadcast behind a size check)."""
     if isinstance(quota, DataFrame):
-        return counts.join(F.broadcast(quota.select("endpoint", "quota")), "endpoint")
+        table = sized_broadcast(quota.select("endpoint", "quota"), row_bytes=64)
+        return counts.join(table, "endpoint")
     return counts.withColumn("quota", F.lit(int(quota)).cast("long"))
 
 
