@@ -19,13 +19,15 @@ from ..operators import requests as RQ
 from ..operators import search as SE
 from ..operators import similar as S
 from ..operators import train as TR
+from ..operators.broadcast import sized_broadcast
 from ..session import fresh_path
 from ..sources import json_pages as JP
 from ..sources import tables
 from ..streaming import pages as PS
 from ..streaming import quota as QT
 from . import fixtures as X
-from .jobs import Snapshot, train_snapshot
+from ..sources import snapshot as SN
+from .jobs import Snapshot, prepare_training, train_snapshot
 
 
 def similar_top5(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +57,8 @@ def popularity_filtered_counts(spark: SparkSession, sf: str) -> DataFrame:
     raw = tables.raw_ratings(spark, sf, with_order=True)
     popular = R.popular_items(raw.select("item_id"), X.MIN_RATINGS)
     train = R.training_ratings(raw, X.MIN_RATINGS)
-    raw_rated = R.rated_only(raw).join(F.broadcast(popular.select("item_id")), "item_id", "left_semi")
+    popular_ids = sized_broadcast(popular.select("item_id"), row_bytes=16)
+    raw_rated = R.rated_only(raw).join(popular_ids, "item_id", "left_semi")
     return R.dataset_counts(train).select(
         popular.agg(F.count(F.lit(1))).scalar().alias("n_popular_items"),
         raw_rated.agg(F.count(F.lit(1))).scalar().alias("n_raw_rated"),
@@ -244,9 +247,13 @@ def _trained(spark: SparkSession, sf: str) -> Snapshot:
 
 
 def training_triples_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """S4 + S5 + S6: training triples written to and read back from a snapshot."""
-    snap = _trained(spark, sf)
-    return snap.table("triples")
+    """S4 + S5 + S6: index tables and training triples written into a run
+    folder and read back (the preparation half of training, no fit)."""
+    root = fresh_path(spark, "models")
+    run = SN.new_run_id()
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    prepare_training(spark, raw, root, run, X.ALS_PARAMS.min_ratings)
+    return SN.read_table(spark, root, run, "triples")
 
 
 def als_stationary(spark: SparkSession, sf: str) -> DataFrame:
