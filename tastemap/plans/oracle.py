@@ -311,6 +311,66 @@ FROM events GROUP BY ALL
 HAVING count(*) > CASE WHEN event_type = 'signup' THEN 2 ELSE 1 END
 """
 
+RECOMMEND_REQUESTS_SERVED = _ranked_recs(10) + """,
+per_user AS (
+  SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
+         arg_max(item_id, rank) AS last_item_id
+  FROM recs GROUP BY user_key),
+model AS (SELECT vec_id AS item_id FROM embeddings),
+counts AS (
+  SELECT c.user_key, count(*) AS n_rated, count(m.item_id) AS n_known
+  FROM canon c LEFT JOIN model m ON m.item_id = c.item_id GROUP BY c.user_key),
+st AS (
+  SELECT k.c_custkey AS request_id, k.c_custkey AS user_key,
+         CASE WHEN k.c_custkey IS NULL THEN 'missing_user'
+              WHEN coalesce(n.n_rated, 0) = 0 THEN 'no_rated_items'
+              WHEN coalesce(n.n_known, 0) = 0 THEN 'no_known_items'
+              ELSE 'ok' END AS status
+  FROM customer k LEFT JOIN counts n ON n.user_key = k.c_custkey)
+SELECT st.request_id, st.status, coalesce(p.total_items, 0) AS total_items,
+       p.first_item_id, p.last_item_id
+FROM st LEFT JOIN per_user p ON p.user_key = st.user_key AND st.status = 'ok'
+"""
+
+SIMILAR_REQUESTS_SERVED = SIMILAR_RANKED + f""",
+req AS (
+  SELECT event_id AS request_id,
+         CASE event_type
+           WHEN 'click' THEN json_extract_string(props, '$.k')
+           WHEN 'purchase' THEN ' ' || json_extract_string(props, '$.k') || ' '
+           WHEN 'view' THEN CAST(value AS VARCHAR)
+           WHEN 'error' THEN props END AS item_text
+  FROM events),
+parsed AS (
+  SELECT request_id, item_text,
+         CASE WHEN regexp_full_match(item_text, '\\s*[+-]?[0-9]+(_[0-9]+)*\\s*')
+              THEN CAST(replace(regexp_replace(item_text, '\\s', '', 'g'), '_', '') AS BIGINT)
+         END AS item_id
+  FROM req),
+st AS (
+  SELECT request_id, item_id,
+         CASE WHEN item_text IS NULL OR length(trim(item_text)) = 0 THEN 'missing_id'
+              WHEN item_id IS NULL THEN 'invalid_id'
+              WHEN item_id NOT IN (SELECT id FROM units) THEN 'unknown_item'
+              WHEN item_id NOT IN (SELECT p_partkey FROM part) THEN 'not_found'
+              ELSE 'ok' END AS status
+  FROM parsed),
+sim AS (
+  SELECT r.src_id, r.rank, r.item_id, r.similarity
+  FROM ranked r JOIN catalogue c ON c.item_id = r.item_id JOIN catalogue s ON s.item_id = r.src_id
+  WHERE r.rank <= 20),
+env AS (
+  SELECT src_id, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
+         arg_min(similarity, rank) AS best
+  FROM sim GROUP BY src_id)
+SELECT st.request_id, st.item_id, st.status,
+       CASE WHEN st.status = 'ok' THEN c.title END AS src_title,
+       coalesce(env.total_items, 0) AS total_items, env.first_item_id,
+       {r6('env.best')} AS best_similarity
+FROM st LEFT JOIN env ON env.src_id = st.item_id AND st.status = 'ok'
+        LEFT JOIN catalogue c ON c.item_id = st.item_id
+"""
+
 ORACLE = {
     "ratings_canonical": RATINGS_CANONICAL,
     "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
@@ -326,6 +386,8 @@ ORACLE = {
     "recommend_request_status": RECOMMEND_REQUEST_STATUS,
     "report_pages": REPORT_PAGES,
     "result_envelope_counts": RESULT_ENVELOPE_COUNTS,
+    "recommend_requests_served": RECOMMEND_REQUESTS_SERVED,
+    "similar_requests_served": SIMILAR_REQUESTS_SERVED,
     "list_pages_exploded": LIST_PAGES_EXPLODED,
     "list_pages_summary": LIST_PAGES_SUMMARY,
     "list_pages_stream": LIST_PAGES_EXPLODED,

@@ -27,7 +27,7 @@ from ..streaming import pages as PS
 from ..streaming import quota as QT
 from . import fixtures as X
 from ..sources import snapshot as SN
-from .jobs import Snapshot, prepare_training, train_snapshot
+from .jobs import Snapshot, prepare_training, serve_recommendations, serve_similar, train_snapshot
 
 
 def similar_top5(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,6 +312,30 @@ def similar_report(spark: SparkSession, sf: str) -> DataFrame:
     return RP.similar_report(sim, X.ITEM_BASE_URL)
 
 
+def recommend_requests_served(spark: SparkSession, sf: str) -> DataFrame:
+    """P5 + M5 + S10 for a request from every customer: status, and for the
+    accepted ones the top 10 as an envelope (count, first and last item)."""
+    reqs = tables.customers(spark, sf).select(F.col("user_key").alias("request_id"), "user_key")
+    out = serve_recommendations(reqs, X.canonical(spark, sf), X.foldin_item_factors(spark, sf),
+                                X.catalogue(spark, sf), 10, X.REGULARIZATION, X.FOLDIN_RANK)
+    recs = F.col("recommendations")
+    return out.select("request_id", "status", "total_items",
+                      recs[0]["item_id"].alias("first_item_id"),
+                      F.element_at(recs, -1)["item_id"].alias("last_item_id"))
+
+
+def similar_requests_served(spark: SparkSession, sf: str) -> DataFrame:
+    """P4 + P5 + M6 + J10 + S10 for every event's similar-item request: status,
+    source title and the top 20 as an envelope (count, first item, best score)."""
+    items, users = X.similarity_factors(spark, sf)
+    units = S.projected_units(items, V.mean_direction(users, "features"))
+    out = serve_similar(similar_requests(spark, sf), units, X.catalogue(spark, sf), 20)
+    sim = F.col("similar")
+    return out.select("request_id", "item_id", "status", "src_title", "total_items",
+                      sim[0]["item_id"].alias("first_item_id"),
+                      result_round(sim[0]["similarity"]).alias("best_similarity"))
+
+
 QUERIES = {
     "ratings_canonical": ratings_canonical,
     "popularity_filtered_counts": popularity_filtered_counts,
@@ -327,6 +351,8 @@ QUERIES = {
     "recommend_request_status": recommend_request_status,
     "report_pages": report_pages,
     "result_envelope_counts": result_envelope_counts,
+    "recommend_requests_served": recommend_requests_served,
+    "similar_requests_served": similar_requests_served,
     "list_pages_exploded": list_pages_exploded,
     "list_pages_summary": list_pages_summary,
     "list_pages_stream": list_pages_stream,
