@@ -304,6 +304,16 @@ def als_recommend_top10(spark: SparkSession, sf: str) -> DataFrame:
                        result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
+def als_similar_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 over a trained model: the projected unit vectors are computed once at
+    training time and stored in the snapshot; top 10 per item, catalogue rows."""
+    snap = _trained(spark, sf)
+    sim = S.enrich_similar(S.similar_items(snap.item_units(), 10), X.catalogue(spark, sf))
+    return sim.select("src_id", "src_title", "rank", "item_id", "title",
+                      result_round("similarity").alias("similarity"),
+                      result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
 def similar_report(spark: SparkSession, sf: str) -> DataFrame:
     """M6 + P10: the top 20 per item (the API's n) as report text."""
     items, users = X.similarity_factors(spark, sf)
@@ -365,6 +375,7 @@ QUERIES = {
     "als_model_checks": als_model_checks,
     "model_checks_embeddings": model_checks_embeddings,
     "als_recommend_top10": als_recommend_top10,
+    "als_similar_top10": als_similar_top10,
 }
 
 

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-NO_ORACLE = {"als_recommend_top10"}
+NO_ORACLE = {"als_recommend_top10", "als_similar_top10"}
 
 
 def norm(v):
@@ -54,3 +54,13 @@ def test_query_matches_sql(spark, duck, key):
     want = rows(duck.execute(E.oracle_sql()[key]).df())
     assert got[0] == want[0]
     assert got[1] == want[1]
+
+
+def test_als_similar_properties(spark):
+    df = E.queries()["als_similar_top10"](spark, SF_SMALL).toPandas()
+    assert len(df) > 0
+    assert (df.src_id != df.item_id).all()
+    assert df.similarity.abs().max() <= 1 + 1e-9
+    for _, g in df.groupby("src_id"):
+        assert list(g.sort_values("rank").similarity) == sorted(g.similarity, reverse=True)
+        assert g["rank"].max() <= 10 and g["rank"].is_unique
