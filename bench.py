@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from tastemap.operators import ratings as R  # noqa: E402
 from tastemap.operators import train as TR  # noqa: E402
 from tastemap.plans import queries as Q  # noqa: E402
-from tastemap.session import build_session  # noqa: E402
+from tastemap.session import build_session, materialize  # noqa: E402
 from tastemap.sources import tables  # noqa: E402
 
 HEADLINE = [
@@ -74,7 +74,7 @@ def main() -> None:
     train = R.training_ratings(tables.raw_ratings(spark, sf_dir, with_order=True), 30)
     ui = R.dense_index(train, "user_key", "user")
     ii = R.dense_index(train, "item_id", "item")
-    triples = R.training_triples(train, ui, ii).checkpoint(eager=True)
+    triples = materialize(R.training_triples(train, ui, ii), "bench_triples")
     n_train = triples.count()
     prep = time.perf_counter() - t0
     t1 = time.perf_counter()
@@ -91,7 +91,8 @@ def main() -> None:
         big = (triples.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
                .select((F.col("user") + F.col("c") * n_users).cast("int").alias("user"),
                        "item", "rating")
-               .repartition(2 * cpus).checkpoint(eager=True))
+               .repartition(2 * cpus))
+        big = materialize(big, "bench_triples_copies")
         n_big = big.count()
         t2 = time.perf_counter()
         TR.fit_als(big, TR.ALSParams(factors=30, iterations=30, regularization=0.1,

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .broadcast import sized_broadcast
 
 # The write order: the last rating of a (user, item) pair is the one with the
@@ -44,10 +45,12 @@ def canonical_ratings(raw_with_order: DataFrame, order_cols=ORDER_COLS) -> DataF
 def training_ratings(raw_with_order: DataFrame, min_count: int) -> DataFrame:
     """Canonical ratings restricted to popular items (left semi join).
 
-    The popular-item table has one small row per item; it is broadcast only
-    when its measured size allows, else the semi join shuffles.
+    The popular-item table (one small row per item) is written once, so its
+    size is measured without another pass over the ratings; it is broadcast
+    only when that size allows, else the semi join shuffles.
     """
-    popular = popular_items(raw_with_order.select("item_id"), min_count).select("item_id")
+    popular = materialize(
+        popular_items(raw_with_order.select("item_id"), min_count).select("item_id"), "popular_items")
     popular = sized_broadcast(popular, row_bytes=16)
     return canonical_ratings(raw_with_order).join(popular, "item_id", "left_semi")
 
@@ -89,7 +92,8 @@ def dense_index(keys: DataFrame, key: str, index: str, partitions: int | None =
     Keys are range-partitioned and sorted, each row takes its position in its
     partition, and one small table of per-partition counts (one row per
     partition) gives the offsets.  No global window pulls all keys into one
-    task.  The positioned keys are checkpointed so both uses see one layout.
+    task.  The positioned keys are written once (``materialize``) so both
+    uses read one layout and the keys are computed a single time.
     """
     spark = keys.sparkSession
     partitions = partitions or spark.sparkContext.defaultParallelism
@@ -97,8 +101,8 @@ def dense_index(keys: DataFrame, key: str, index: str, partitions: int | None =
                   .repartitionByRange(partitions, key)
                   .sortWithinPartitions(key)
                   .withColumn("_pid", F.spark_partition_id())
-                  .withColumn("_mid", F.monotonically_increasing_id())
-                  .checkpoint(eager=True))
+                  .withColumn("_mid", F.monotonically_increasing_id()))
+    positioned = materialize(positioned, "dense_index")
     per_part = positioned.groupBy("_pid").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     offsets = per_part.select(

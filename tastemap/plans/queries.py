@@ -20,7 +20,7 @@ from ..operators import search as SE
 from ..operators import similar as S
 from ..operators import train as TR
 from ..operators.broadcast import sized_broadcast
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..sources import json_pages as JP
 from ..sources import tables
 from ..streaming import pages as PS
@@ -55,7 +55,7 @@ def popularity_filtered_counts(spark: SparkSession, sf: str) -> DataFrame:
     the reference trains on); the other counts describe the canonical set.
     """
     raw = tables.raw_ratings(spark, sf, with_order=True)
-    popular = R.popular_items(raw.select("item_id"), X.MIN_RATINGS)
+    popular = materialize(R.popular_items(raw.select("item_id"), X.MIN_RATINGS), "popular_items")
     train = R.training_ratings(raw, X.MIN_RATINGS)
     popular_ids = sized_broadcast(popular.select("item_id"), row_bytes=16)
     raw_rated = R.rated_only(raw).join(popular_ids, "item_id", "left_semi")
@@ -215,9 +215,10 @@ def quota_hourly_by_endpoint(spark: SparkSession, sf: str) -> DataFrame:
     """T1 with a quota per endpoint (as the reference limits each route):
     hourly windows; sign-ups may come twice an hour, the rest once."""
     log = tables.request_log(spark, sf)
-    quotas = (log.select("endpoint").distinct()
-              .select("endpoint", F.when(F.col("endpoint") == "signup", 2).otherwise(1)
-                      .cast("long").alias("quota")))
+    quotas = materialize(
+        log.select("endpoint").distinct()
+        .select("endpoint", F.when(F.col("endpoint") == "signup", 2).otherwise(1)
+                .cast("long").alias("quota")), "quotas")
     return QT.over_quota(log, "1 hour", quotas)
 
 

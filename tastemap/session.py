@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -68,3 +68,16 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, kind: str) -> str:
     """A new, never-used folder below the shared root for one run of one job."""
     return f"{shared_root(spark)}/tastemap/{kind}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` once as a parquet table below the shared root and read it back.
+
+    Cuts lineage like ``checkpoint()`` but computes ``df`` a single time (an
+    eager checkpoint of an uncached input computes it twice); later counts and
+    joins read the small written table instead of re-running its upstream.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, kind)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
