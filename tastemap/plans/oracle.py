@@ -22,7 +22,8 @@ raw AS (
   SELECT o.o_custkey AS user_key, l.l_partkey AS item_id,
          CAST(floor(l.l_quantity / 5) AS INTEGER) AS rating,
          l.l_orderkey, l.l_linenumber, l.l_quantity
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  WHERE l.l_partkey IS NOT NULL AND o.o_custkey IS NOT NULL)"""
 
 CANON = RAW + """,
 canon AS (
