@@ -372,6 +372,14 @@ FROM st LEFT JOIN env ON env.src_id = st.item_id AND st.status = 'ok'
         LEFT JOIN catalogue c ON c.item_id = st.item_id
 """
 
+REQUEST_REJECTS = f"""
+SELECT * FROM (
+  SELECT 'similar' AS kind, request_id, status AS reason FROM ({SIMILAR_REQUEST_STATUS})
+  UNION ALL
+  SELECT 'recommend' AS kind, request_id, status AS reason FROM ({RECOMMEND_REQUEST_STATUS}))
+WHERE reason <> 'ok'
+"""
+
 ORACLE = {
     "ratings_canonical": RATINGS_CANONICAL,
     "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
@@ -385,6 +393,7 @@ ORACLE = {
     "search_title_words": SEARCH_TITLE_WORDS,
     "similar_request_status": SIMILAR_REQUEST_STATUS,
     "recommend_request_status": RECOMMEND_REQUEST_STATUS,
+    "request_rejects": REQUEST_REJECTS,
     "report_pages": REPORT_PAGES,
     "result_envelope_counts": RESULT_ENVELOPE_COUNTS,
     "recommend_requests_served": RECOMMEND_REQUESTS_SERVED,

@@ -154,6 +154,16 @@ def recommend_request_status(spark: SparkSession, sf: str) -> DataFrame:
     return RQ.validate_recommend(reqs, X.canonical(spark, sf), model_items)
 
 
+def request_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: the rejected requests of both kinds with their reason (accepted ones
+    go on to the answering jobs)."""
+    sim = similar_request_status(spark, sf).select(
+        F.lit("similar").alias("kind"), "request_id", F.col("status").alias("reason"))
+    rec = recommend_request_status(spark, sf).select(
+        F.lit("recommend").alias("kind"), "request_id", F.col("status").alias("reason"))
+    return sim.unionByName(rec).where(F.col("reason") != "ok")
+
+
 def _recommendations(spark: SparkSession, sf: str, n: int) -> DataFrame:
     items = X.foldin_item_factors(spark, sf)
     users = FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2)
@@ -360,6 +370,7 @@ QUERIES = {
     "search_title_words": search_title_words,
     "similar_request_status": similar_request_status,
     "recommend_request_status": recommend_request_status,
+    "request_rejects": request_rejects,
     "report_pages": report_pages,
     "result_envelope_counts": result_envelope_counts,
     "recommend_requests_served": recommend_requests_served,
