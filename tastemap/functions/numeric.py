@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import MISSING_SCORE_TEXT, SCORE_DIGITS
+
 # Results compared against the SQL oracle are rounded to this many places.
 RESULT_DIGITS = 6
 
@@ -28,7 +30,7 @@ def result_round(x) -> Column:
     return round_half_up(x, RESULT_DIGITS)
 
 
-def score_text(x, digits: int = 2, missing: str = "N/A") -> Column:
+def score_text(x, digits: int = SCORE_DIGITS, missing: str = MISSING_SCORE_TEXT) -> Column:
     """Fixed-point text of a score, or ``missing`` when null.
 
     ``format_string`` prints a null argument as text, so nulls are tested first.

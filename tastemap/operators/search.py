@@ -18,12 +18,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import SEARCH_MIN_CHARS, SEARCH_N
 from ..functions import text as TX
 
 GRAM = 2
 
 
-def clean_queries(queries: DataFrame, min_len: int = 1) -> DataFrame:
+def clean_queries(queries: DataFrame, min_len: int = SEARCH_MIN_CHARS) -> DataFrame:
     """Strip, drop blank and too-short texts; adds ``ql`` (folded query)."""
     s = TX.strip("q")
     return (queries.withColumn("_s", s)
@@ -63,7 +64,8 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
             .select("qid", "item_id", "tl", "ql"))
 
 
-def search(queries: DataFrame, catalogue: DataFrame, n: int = 10, min_len: int = 1) -> DataFrame:
+def search(queries: DataFrame, catalogue: DataFrame, n: int = SEARCH_N,
+           min_len: int = SEARCH_MIN_CHARS) -> DataFrame:
     """Top ``n`` titles per query: ``(qid, rank, item_id, title, average_rating, num_ratings, tier)``.
 
     ``queries`` is ``(qid, q)``; ``catalogue`` is ``(item_id, title,

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ratings as R
+from ..fixed import ALS_REGULARIZATION, PAGE_SIZE  # noqa: F401
 from ..operators.train import ALSParams
 from ..sources import tables
 
 # Fixed values of the fixture mapping (FIXTURES.md §2).
 MIN_RATINGS = 30          # popularity threshold: rows per item
 FOLDIN_RANK = 2           # k of the closed-form fold-in model
-REGULARIZATION = 0.1      # lambda, as in the reference defaults
+REGULARIZATION = ALS_REGULARIZATION
 SEARCH_TERMS = ["an", "blu", "NVIL", "zzz"]
 QUOTA_WINDOW = "1 day"
 QUOTA_LIMIT = 2

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed import RECOMMEND_N_API, SIMILAR_N_API
 from ..functions import vectors as V
 from ..functions.numeric import result_round
 from ..operators import foldin as FI
@@ -172,7 +173,7 @@ def _recommendations(spark: SparkSession, sf: str, n: int) -> DataFrame:
 
 def report_pages(spark: SparkSession, sf: str) -> DataFrame:
     """P8-P11 + A9: the top 100 per user (the API's n) as 20-row report pages."""
-    return RP.recommendation_report(_recommendations(spark, sf, 100), X.ITEM_BASE_URL)
+    return RP.recommendation_report(_recommendations(spark, sf, RECOMMEND_N_API), X.ITEM_BASE_URL)
 
 
 def result_envelope_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +330,7 @@ def similar_report(spark: SparkSession, sf: str) -> DataFrame:
     """M6 + P10: the top 20 per item (the API's n) as report text."""
     items, users = X.similarity_factors(spark, sf)
     units = S.projected_units(items, V.mean_direction(users, "features"))
-    sim = S.enrich_similar(S.similar_items(units, 20), X.catalogue(spark, sf))
+    sim = S.enrich_similar(S.similar_items(units, SIMILAR_N_API), X.catalogue(spark, sf))
     return RP.similar_report(sim, X.ITEM_BASE_URL)
 
 
@@ -350,7 +351,7 @@ def similar_requests_served(spark: SparkSession, sf: str) -> DataFrame:
     source title and the top 20 as an envelope (count, first item, best score)."""
     items, users = X.similarity_factors(spark, sf)
     units = S.projected_units(items, V.mean_direction(users, "features"))
-    out = serve_similar(similar_requests(spark, sf), units, X.catalogue(spark, sf), 20)
+    out = serve_similar(similar_requests(spark, sf), units, X.catalogue(spark, sf), SIMILAR_N_API)
     sim = F.col("similar")
     return out.select("request_id", "item_id", "status", "src_title", "total_items",
                       sim[0]["item_id"].alias("first_item_id"),

@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..fixed import LIST_PAGE_ENTRIES
 
-PAGE_ENTRIES = 1000  # entries per page the client asks for
 
-
-def land_pages(ratings: DataFrame, path: str, page_entries: int = PAGE_ENTRIES,
+def land_pages(ratings: DataFrame, path: str, page_entries: int = LIST_PAGE_ENTRIES,
                spread_cols: tuple[str, ...] = ()) -> str:
     """Write a ratings table as user-list pages below ``path``; returns the path.
 

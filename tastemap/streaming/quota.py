@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..fixed import QUOTAS
 from ..operators.broadcast import sized_broadcast
 
 KEYS = ["client", "endpoint", "window_start", "window_end"]
@@ -30,6 +31,11 @@ def _with_quota(counts: DataFrame, quota) -> DataFrame:
     return counts.withColumn("quota", F.lit(int(quota)).cast("long"))
 
 
+def route_quotas(spark: SparkSession) -> DataFrame:
+    """The service's own quota table: ``(endpoint, quota)`` per route (``fixed.QUOTAS``)."""
+    return spark.createDataFrame(list(QUOTAS), "endpoint string, quota long")
+
+
 def window_counts(log: DataFrame, window: str) -> DataFrame:
     """Calls per client, endpoint and fixed window (partial counts map-side)."""
     return (log.groupBy("client", "endpoint", F.window("ts", window).alias("w"))

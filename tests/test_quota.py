@@ -43,3 +43,10 @@ def test_stream_drops_late_events(spark, tmp_root):
     assert out == {(1, 10): 4, (2, 0): 1}
     batch = QT.over_quota(spark.createDataFrame(first + late, SCHEMA), "1 hour", 0)
     assert batch.where((F.col("client") == 2)).first().calls == 3
+
+
+def test_route_quotas(spark):
+    rows = [(t(0, i % 60), 1, "recommendations") for i in range(31)] + \
+           [(t(0, i % 60), 1, "similar") for i in range(31)]
+    out = QT.over_quota(spark.createDataFrame(rows, SCHEMA), "1 hour", QT.route_quotas(spark)).collect()
+    assert [(r.endpoint, r.calls, r.quota) for r in out] == [("recommendations", 31, 30)]
