@@ -54,9 +54,12 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.explode(F.array_distinct(
             F.when(F.length("ql") >= GRAM, TX.grams("ql", GRAM)).otherwise(F.array("ql"))
         )).alias("gram"))
+    # per query, the (frequency, gram) pairs of its own grams (bounded by the
+    # query's length); their minimum is the rarest gram, ties by gram text
+    pairs = F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "gram"))
     best = (qg.join(freq, "gram", "left")
             .groupBy("qid", "ql")
-            .agg(F.min_by("gram", F.struct(F.coalesce("freq", F.lit(0)), "gram")).alias("gram")))
+            .agg(F.array_min(pairs)["gram"].alias("gram")))
     titles = catalogue.select("item_id", TX.fold("title").alias("tl"))
     return (best.join(tg, "gram")
             .join(titles, "item_id")

@@ -23,3 +23,10 @@ def test_ratings_scan_is_pruned_and_filtered(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int,l_quantity:double>" in scan
     assert "GreaterThanOrEqual(l_quantity,5.0)" in scan
     assert "SortAggregate" not in plan          # the dedupe is a hash aggregate
+
+
+def test_no_sort_aggregation_in_search(spark):
+    plan = E.queries()["search_top10"](spark, SF_SMALL)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert "WindowGroupLimit" in plan           # top 10 per query cut before the shuffle
