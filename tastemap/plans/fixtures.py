@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import ratings as R
-from ..fixed import ALS_REGULARIZATION, PAGE_SIZE  # noqa: F401
+from ..fixed import ALS_REGULARIZATION
 from ..operators.train import ALSParams
 from ..sources import tables
 
