@@ -59,8 +59,9 @@ def test_write_seq_guards_packing_range(spark):
 
 def test_dataset_counts_one_pass(spark):
     rows = [(1, 1, 3, 1, 1, 1.0), (1, 2, 3, 1, 2, 1.0), (2, 2, 3, 2, 1, 1.0)]
-    c = R.dataset_counts(raw_df(spark, rows)).first()
-    assert (c.n_ratings, c.n_users, c.n_items) == (3, 2, 2)
+    for approximate in (False, True):
+        c = R.dataset_counts(raw_df(spark, rows), approximate=approximate).first()
+        assert (c.n_ratings, c.n_users, c.n_items) == (3, 2, 2)
 
 
 def test_dense_index_is_sorted_bijection(spark):
