@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import ratings as R
 from ..fixed import ALS_REGULARIZATION
 from ..operators.train import ALSParams
+from ..session import materialize
 from ..sources import tables
 
 # Fixed values of the fixture mapping (FIXTURES.md §2).
@@ -30,8 +31,17 @@ def canonical(spark: SparkSession, sf: str) -> DataFrame:
     return R.canonical_ratings(tables.raw_ratings(spark, sf, with_order=True, rated=True))
 
 
-def catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    return R.catalogue(tables.titles(spark, sf), canonical(spark, sf))
+def canonical_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The canonical ratings written once to the shared folder, for queries
+    that read them more than once (fold-in, statistics, validation): one
+    dedupe pass over the ratings instead of one per use."""
+    return materialize(canonical(spark, sf), "canonical_ratings")
+
+
+def catalogue(spark: SparkSession, sf: str, ratings: DataFrame | None = None) -> DataFrame:
+    """D2 from ``part`` and the canonical ratings (given, or derived here)."""
+    ratings = canonical(spark, sf) if ratings is None else ratings
+    return R.catalogue(tables.titles(spark, sf), ratings)
 
 
 def similarity_factors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -93,9 +93,10 @@ def foldin_pandas(spark: SparkSession, sf: str) -> DataFrame:
 def recommend_rank2_top10(spark: SparkSession, sf: str) -> DataFrame:
     """M5: fold-in -> score all items -> drop rated -> top 10 -> catalogue."""
     items = X.foldin_item_factors(spark, sf)
-    users = FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2)
+    canon = X.canonical_written(spark, sf)
+    users = FI.foldin(canon, items, X.REGULARIZATION, 2)
     recs = RC.recommend(users, items, 10)
-    out = RC.enrich_recommendations(recs, X.catalogue(spark, sf))
+    out = RC.enrich_recommendations(recs, X.catalogue(spark, sf, canon))
     return out.select("user_key", "rank", "item_id", "title",
                       result_round("predicted_score").alias("predicted_score"),
                       result_round("average_rating").alias("average_rating"), "num_ratings")
@@ -167,8 +168,9 @@ def request_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 def _recommendations(spark: SparkSession, sf: str, n: int) -> DataFrame:
     items = X.foldin_item_factors(spark, sf)
-    users = FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2)
-    return RC.enrich_recommendations(RC.recommend(users, items, n), X.catalogue(spark, sf))
+    canon = X.canonical_written(spark, sf)
+    users = FI.foldin(canon, items, X.REGULARIZATION, 2)
+    return RC.enrich_recommendations(RC.recommend(users, items, n), X.catalogue(spark, sf, canon))
 
 
 def report_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -308,9 +310,9 @@ def als_recommend_top10(spark: SparkSession, sf: str) -> DataFrame:
     trained item factors, top 10 unrated items per user, catalogue rows."""
     snap = _trained(spark, sf)
     items = snap.item_vectors()
-    users = FI.foldin(X.canonical(spark, sf), items, X.ALS_PARAMS.regularization,
-                      X.ALS_PARAMS.factors)
-    recs = RC.enrich_recommendations(RC.recommend(users, items, 10), X.catalogue(spark, sf))
+    canon = X.canonical_written(spark, sf)
+    users = FI.foldin(canon, items, X.ALS_PARAMS.regularization, X.ALS_PARAMS.factors)
+    recs = RC.enrich_recommendations(RC.recommend(users, items, 10), X.catalogue(spark, sf, canon))
     return recs.select("user_key", "rank", "item_id", "title",
                        result_round("predicted_score").alias("predicted_score"),
                        result_round("average_rating").alias("average_rating"), "num_ratings")
@@ -338,8 +340,9 @@ def recommend_requests_served(spark: SparkSession, sf: str) -> DataFrame:
     """P5 + M5 + S10 for a request from every customer: status, and for the
     accepted ones the top 10 as an envelope (count, first and last item)."""
     reqs = tables.customers(spark, sf).select(F.col("user_key").alias("request_id"), "user_key")
-    out = serve_recommendations(reqs, X.canonical(spark, sf), X.foldin_item_factors(spark, sf),
-                                X.catalogue(spark, sf), 10, X.REGULARIZATION, X.FOLDIN_RANK)
+    canon = X.canonical_written(spark, sf)
+    out = serve_recommendations(reqs, canon, X.foldin_item_factors(spark, sf),
+                                X.catalogue(spark, sf, canon), 10, X.REGULARIZATION, X.FOLDIN_RANK)
     recs = F.col("recommendations")
     return out.select("request_id", "status", "total_items",
                       recs[0]["item_id"].alias("first_item_id"),
