@@ -42,16 +42,19 @@ def canonical_ratings(raw_with_order: DataFrame, order_cols=ORDER_COLS) -> DataF
             .agg(last.alias("rating")))
 
 
-def training_ratings(raw_with_order: DataFrame, min_count: int) -> DataFrame:
+def training_ratings(raw_with_order: DataFrame, min_count: int,
+                     popular: DataFrame | None = None) -> DataFrame:
     """Canonical ratings restricted to popular items (left semi join).
 
-    The popular-item table (one small row per item) is written once, so its
-    size is measured without another pass over the ratings; it is broadcast
-    only when that size allows, else the semi join shuffles.
+    The popular-item table (one small row per item; pass it when already
+    written) is written once, so its size is measured without another pass
+    over the ratings; it is broadcast only when that size allows, else the
+    semi join shuffles.
     """
-    popular = materialize(
-        popular_items(raw_with_order.select("item_id"), min_count).select("item_id"), "popular_items")
-    popular = sized_broadcast(popular, row_bytes=16)
+    if popular is None:
+        popular = materialize(popular_items(raw_with_order.select("item_id"), min_count),
+                              "popular_items")
+    popular = sized_broadcast(popular.select("item_id"), row_bytes=16)
     return canonical_ratings(raw_with_order).join(popular, "item_id", "left_semi")
 
 

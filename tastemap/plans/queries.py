@@ -57,7 +57,7 @@ def popularity_filtered_counts(spark: SparkSession, sf: str) -> DataFrame:
     """
     raw = tables.raw_ratings(spark, sf, with_order=True)
     popular = materialize(R.popular_items(raw.select("item_id"), X.MIN_RATINGS), "popular_items")
-    train = R.training_ratings(raw, X.MIN_RATINGS)
+    train = R.training_ratings(raw, X.MIN_RATINGS, popular=popular)
     popular_ids = sized_broadcast(popular.select("item_id"), row_bytes=16)
     raw_rated = R.rated_only(raw).join(popular_ids, "item_id", "left_semi")
     return R.dataset_counts(train).select(
