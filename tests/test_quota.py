@@ -50,3 +50,25 @@ def test_route_quotas(spark):
            [(t(0, i % 60), 1, "similar") for i in range(31)]
     out = QT.over_quota(spark.createDataFrame(rows, SCHEMA), "1 hour", QT.route_quotas(spark)).collect()
     assert [(r.endpoint, r.calls, r.quota) for r in out] == [("recommendations", 31, 30)]
+
+
+def test_stream_restart_from_checkpoint_counts_once(spark, tmp_root):
+    src, out, ckpt = tmp_root + "/src", tmp_root + "/out", tmp_root + "/ckpt"
+    first = [(t(1, i), 1, "a") for i in range(3)]
+    second = [(t(1, 30 + i), 1, "a") for i in range(2)] + [(t(2, 0), 2, "b")]
+    spark.createDataFrame(first, SCHEMA).coalesce(1).write.parquet(src + "/b1")
+
+    def source():
+        return spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(src)
+
+    q = QT.run_stream(spark, source(), out, ckpt, "1 hour")
+    q.awaitTermination()                      # available-now: first file only
+    spark.createDataFrame(second, SCHEMA).coalesce(1).write.parquet(src + "/b2")
+    q = QT.run_stream(spark, source(), out, ckpt, "1 hour")   # a new query, same checkpoint
+    q.awaitTermination()
+    got = sorted((r.client, r.endpoint, r.calls)
+                 for r in QT.read_stream_result(spark, out, 0).collect())
+    want = sorted((r.client, r.endpoint, r.calls)
+                  for r in QT.over_quota(spark.createDataFrame(first + second, SCHEMA),
+                                         "1 hour", 0).collect())
+    assert got == want == [(1, "a", 5), (2, "b", 1)]

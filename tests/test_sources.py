@@ -45,3 +45,16 @@ def test_snapshot_latest_complete_run(spark, tmp_root):
         raise AssertionError("overwrote a run")
     except Exception as e:  # noqa: BLE001
         assert "already exists" in str(e).lower() or "PATH_ALREADY_EXISTS" in str(e)
+
+
+def test_page_stream_restart_is_exactly_once(spark, tmp_root):
+    from tastemap.streaming.pages import run_ingest
+    r1 = spark.createDataFrame([(1, i, 3) for i in range(10)], "user_key long, item_id long, rating int")
+    r2 = spark.createDataFrame([(2, i, 4) for i in range(5)], "user_key long, item_id long, rating int")
+    JP.land_pages(r1, f"{tmp_root}/landing/a")
+    out, ckpt = f"{tmp_root}/out", f"{tmp_root}/ckpt"
+    run_ingest(spark, f"{tmp_root}/landing/*", out, ckpt).awaitTermination()
+    JP.land_pages(r2, f"{tmp_root}/landing/b")
+    run_ingest(spark, f"{tmp_root}/landing/*", out, ckpt).awaitTermination()
+    got = sorted((r.user_key, r.item_id) for r in spark.read.parquet(out).collect())
+    assert got == sorted([(1, i) for i in range(10)] + [(2, i) for i in range(5)])
