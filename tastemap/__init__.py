@@ -1,3 +1,26 @@
-"""tastemap: collaborative filtering on explicit ratings as Spark DataFrame jobs."""
+"""tastemap: collaborative filtering on explicit ratings as Spark DataFrame jobs.
+
+The service's jobs, for whole batches:
+
+* train:      ``train_snapshot`` (ratings -> ALS -> run snapshot), ``Snapshot``
+* recommend:  ``serve_recommendations`` or ``foldin`` + ``recommend``
+* similar:    ``serve_similar`` or ``projected_units`` + ``similar_items``
+* search:     ``search``
+* quotas:     ``over_quota`` (batch), ``run_stream`` (Structured Streaming)
+"""
 
 __version__ = "0.1.0"
+
+from .operators.foldin import foldin  # noqa: E402
+from .operators.recommend import enrich_recommendations, recommend  # noqa: E402
+from .operators.search import search  # noqa: E402
+from .operators.similar import enrich_similar, projected_units, similar_items  # noqa: E402
+from .plans.jobs import Snapshot, serve_recommendations, serve_similar, train_snapshot  # noqa: E402
+from .session import build_session  # noqa: E402
+from .streaming.quota import over_quota, run_stream  # noqa: E402
+
+__all__ = [
+    "Snapshot", "build_session", "enrich_recommendations", "enrich_similar", "foldin",
+    "over_quota", "projected_units", "recommend", "run_stream", "search",
+    "serve_recommendations", "serve_similar", "similar_items", "train_snapshot",
+]
