@@ -1,0 +1,33 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tastemap.session import ensure_checkpoint_dir, fresh_path, materialize, shared_root
+
+
+def test_shared_root_comes_from_the_session(spark):
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        assert shared_root(spark) == configured.rstrip("/")
+    assert ensure_checkpoint_dir(spark)          # Spark's own checkpoint folder is set
+
+
+def test_fresh_paths_are_unique_and_below_the_root(spark):
+    a, b = fresh_path(spark, "x"), fresh_path(spark, "x")
+    assert a != b and a.startswith(shared_root(spark)) and b.startswith(shared_root(spark))
+
+
+def test_materialize_computes_once_and_cuts_lineage(spark):
+    acc = spark.sparkContext.accumulator(0)
+
+    def count_rows(it):
+        for row in it:
+            acc.add(1)
+            yield row
+
+    df = spark.createDataFrame(spark.sparkContext.parallelize(range(50), 4).map(lambda i: (i,))
+                               .mapPartitions(count_rows), "i long")
+    m = materialize(df.withColumn("j", F.col("i") * 2), "test")
+    assert m.count() == 50 and m.agg(F.sum("j")).first()[0] == 2 * sum(range(50))
+    assert acc.value == 50                       # the input ran exactly once
+    assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString() or \
+        "FileScan parquet" in m._jdf.queryExecution().executedPlan().toString()
