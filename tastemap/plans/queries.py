@@ -253,10 +253,20 @@ def dense_index_users(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense_index(X.canonical(spark, sf), "user_key", "user")
 
 
+# Runs trained in this process, per (Spark application, data folder): the ALS
+# queries of one session share one complete snapshot run (S9 reuse) instead of
+# each fitting the same model again.  Kept in memory only, so a new session
+# never reads a model of data that may have changed since (Q14).
+_RUNS: dict[tuple[str, str], tuple[str, str]] = {}
+
+
 def _trained(spark: SparkSession, sf: str) -> Snapshot:
-    root = fresh_path(spark, "models")
-    raw = tables.raw_ratings(spark, sf, with_order=True)
-    run = train_snapshot(spark, raw, root, X.ALS_PARAMS, force=True)
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _RUNS:
+        root = fresh_path(spark, "models")
+        raw = tables.raw_ratings(spark, sf, with_order=True)
+        _RUNS[key] = (root, train_snapshot(spark, raw, root, X.ALS_PARAMS, force=True))
+    root, run = _RUNS[key]
     return Snapshot(spark, root, run)
 
 
