@@ -11,6 +11,15 @@ The service's jobs, for whole batches:
 
 __version__ = "0.1.0"
 
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+# The pandas functions of this package reach Python workers pickled by value,
+# so executors need no installed copy of the package (a cluster may still ship
+# it with --py-files; then this only adds bytes to each task's function).
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 from .operators.foldin import foldin  # noqa: E402
 from .operators.recommend import enrich_recommendations, recommend  # noqa: E402
 from .operators.search import search  # noqa: E402
