@@ -222,9 +222,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS,
                                              names=["a", "b"])
 
     roots = components(candidate_groups(nodes, distance).mapInArrow(link, "a long, b long"))
-    classed = nodes.join(roots, nodes.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classed = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")), "classed")
+    # Written, so that the join reads it as it is and a large class can be split.
+    least = materialize(classed.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
     named = classed.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

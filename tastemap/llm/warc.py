@@ -179,8 +179,10 @@ def plan_records(pages: DataFrame, threshold: int = REVISIT_BYTES) -> DataFrame:
                          F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     body = F.encode("html", "UTF-8")
     pages = pages.withColumn("digest", F.when(F.octet_length("html") >= threshold, F.sha1(body)))
-    kept = (pages.where("digest IS NOT NULL").groupBy("digest")
-            .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    # Written, so that the join reads it as it is and a digest with many pages can be split.
+    kept = materialize(pages.where("digest IS NOT NULL").groupBy("digest")
+                       .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+                       .where("n > 1").drop("n"), "warc_keepers")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return (pages.join(kept, "digest", "left")
             .select("page_id", "url", "html", revisit.alias("revisit"),
