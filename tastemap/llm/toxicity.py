@@ -30,7 +30,7 @@ MARKER_RATIO = 20.0
 #: Marker words from which a toxic document has grade 2 and 3.
 GRADE_EDGES = (5, 12)
 ROUNDS = 400
-RIDGE = 2e-5
+RIDGE = 1e-4
 #: A document is toxic from this expected severity on.
 TOXIC_SEVERITY = 0.2
 
