@@ -26,10 +26,11 @@ INT_TEXT = r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"
 
 
 def parse_int(x) -> Column:
-    """Lenient integer parse: the integer, or null when the text is no integer."""
+    """Lenient integer parse: the integer, or null when the text is no integer
+    or one that a long can't hold."""
     x = _c(x)
     digits = F.regexp_replace(F.regexp_replace(x, r"\s", ""), "_", "")
-    return F.when(x.rlike(INT_TEXT), digits.cast("long"))
+    return F.when(x.rlike(INT_TEXT), digits.try_cast("long"))
 
 
 def grams(x, size: int) -> Column:

@@ -22,9 +22,9 @@ SEARCH_TERMS = ["an", "blu", "NVIL", "zzz"]
 QUOTA_WINDOW = "1 day"
 QUOTA_LIMIT = 2
 ITEM_BASE_URL = "/items/"
-# ALS at the fixture scale: rank 8, 5 iterations, fixed seed.
-ALS_PARAMS = ALSParams(factors=8, iterations=5, regularization=0.1,
-                       min_ratings=MIN_RATINGS, seed=42, checkpoint_interval=2)
+# ALS with the default parameters but the fixture's popularity threshold.
+ALS_PARAMS = ALSParams(min_ratings=MIN_RATINGS)
+FULL_RANK = 64            # values of an embedding
 
 
 def canonical(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +56,16 @@ def similarity_factors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     return emb.where(role == 0), emb.where(role == 1)
 
 
+def vector_users(spark: SparkSession, sf: str, ratings: DataFrame) -> DataFrame:
+    """``(user_key, features, rated)``: odd embeddings as the vectors of the users with
+    their ids, all 64 values, and the items that each has rated."""
+    users = tables.embedding_vectors(spark, sf).where(F.pmod(F.col("id"), F.lit(2)) == 1)
+    rated = ratings.groupBy("user_key").agg(F.collect_list("item_id").alias("rated"))
+    return (users.join(rated, users.id == rated.user_key, "left")
+            .select(F.col("id").alias("user_key"), V.as_doubles("features").alias("features"),
+                    F.coalesce("rated", F.array().cast("array<bigint>")).alias("rated")))
+
+
 def foldin_item_factors(spark: SparkSession, sf: str, k: int = FOLDIN_RANK) -> DataFrame:
     """``(item_id, features array<double>)``: every embedding, first ``k`` values."""
     return tables.embedding_vectors(spark, sf).select(

@@ -173,12 +173,13 @@ WITH req AS (
            WHEN 'click' THEN json_extract_string(props, '$.k')
            WHEN 'purchase' THEN ' ' || json_extract_string(props, '$.k') || ' '
            WHEN 'view' THEN CAST(value AS VARCHAR)
-           WHEN 'error' THEN props END AS item_text
+           WHEN 'error' THEN CASE WHEN event_id % 2 = 0
+             THEN '99999999999999999999' || json_extract_string(props, '$.k') ELSE props END END AS item_text
   FROM events),
 parsed AS (
   SELECT request_id, item_text,
          CASE WHEN regexp_full_match(item_text, '\s*[+-]?[0-9]+(_[0-9]+)*\s*')
-              THEN CAST(replace(regexp_replace(item_text, '\s', '', 'g'), '_', '') AS BIGINT)
+              THEN TRY_CAST(replace(regexp_replace(item_text, '\s', '', 'g'), '_', '') AS BIGINT)
          END AS item_id
   FROM req),
 model AS (SELECT vec_id AS item_id FROM embeddings WHERE vec_id % 2 = 0)
@@ -206,15 +207,21 @@ FROM customer k LEFT JOIN per_user p ON p.user_key = k.c_custkey
 """
 
 
-def _ranked_recs(n: int) -> str:
-    return "WITH " + FOLDIN_K2 + f""",
+VECTOR_USERS = CANON + """,
+items AS (SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+sol AS (SELECT vec_id AS user_key, CAST(embedding AS DOUBLE[]) AS u FROM embeddings WHERE vec_id % 2 = 1)"""
+
+
+def _ranked_recs(n: int, users: str | None = None,
+                 score: str = "list_sum(list_transform(u.u, lambda a, j: a * i.x[j]))") -> str:
+    return "WITH " + (users or VECTOR_USERS) + f""",
 stats AS (SELECT item_id, avg(rating) AS average_rating, count(*) AS num_ratings
           FROM canon GROUP BY item_id),
 catalogue AS (SELECT p.p_partkey AS item_id, p.p_name AS title, s.average_rating,
                      coalesce(s.num_ratings, 0) AS num_ratings
               FROM part p LEFT JOIN stats s ON s.item_id = p.p_partkey),
 scores AS (
-  SELECT u.user_key, i.item_id, u.u0 * i.x0 + u.u1 * i.x1 AS predicted_score
+  SELECT u.user_key, i.item_id, {score} AS predicted_score
   FROM sol u CROSS JOIN items i
   WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.user_key = u.user_key AND c.item_id = i.item_id)),
 ranked AS (
@@ -243,6 +250,11 @@ SELECT user_key, rank, CAST(floor((rank - 1) / 20) + 1 AS INTEGER) AS page,
 FROM recs
 """
 
+RECOMMEND_VECTORS_TOP10 = _ranked_recs(10) + f"""
+SELECT user_key, rank, item_id, title, {r6('predicted_score')} AS predicted_score,
+       {r6('average_rating')} AS average_rating, num_ratings FROM recs
+"""
+
 RESULT_ENVELOPE_COUNTS = _ranked_recs(10) + """
 SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
        arg_max(item_id, rank) AS last_item_id, TRUE AS has_json
@@ -289,6 +301,26 @@ ALS_STATIONARY = TRAIN + """
 SELECT user_key, count(*) AS n, TRUE AS ok FROM train GROUP BY user_key
 """
 
+FOLDIN_RANK64 = "WITH " + CANON + """
+SELECT user_key, count(*) AS n, TRUE AS ok FROM canon
+WHERE item_id IN (SELECT vec_id FROM embeddings) GROUP BY user_key
+"""
+
+ALS_RECOMMEND_CHECKS = TRAIN + """,
+model AS (SELECT DISTINCT item_id FROM train)
+SELECT user_key, least(10, (SELECT count(*) FROM model) - count(*)) AS n_rows, TRUE AS ranks_ok,
+       TRUE AS none_rated, TRUE AS scores_ok
+FROM canon WHERE item_id IN (SELECT item_id FROM model)
+GROUP BY user_key HAVING count(*) < (SELECT count(*) FROM model)
+"""
+
+ALS_SIMILAR_CHECKS = TRAIN + """,
+model AS (SELECT DISTINCT item_id FROM train)
+SELECT item_id AS src_id, least(10, (SELECT count(*) - 1 FROM model)) AS n_rows, TRUE AS ranks_ok,
+       TRUE AS no_self, TRUE AS scores_ok
+FROM model
+"""
+
 ALS_MODEL_CHECKS = TRAIN + """
 SELECT count(DISTINCT item_id) AS n_index, count(DISTINCT item_id) AS n_factors,
        0::BIGINT AS missing, 0::BIGINT AS orphans, 0::BIGINT AS bad_length
@@ -312,7 +344,7 @@ FROM events GROUP BY ALL
 HAVING count(*) > CASE WHEN event_type = 'signup' THEN 2 ELSE 1 END
 """
 
-RECOMMEND_REQUESTS_SERVED = _ranked_recs(10) + """,
+RECOMMEND_REQUESTS_SERVED = _ranked_recs(10, FOLDIN_K2, "u.u0 * i.x0 + u.u1 * i.x1") + """,
 per_user AS (
   SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
          arg_max(item_id, rank) AS last_item_id
@@ -340,12 +372,13 @@ req AS (
            WHEN 'click' THEN json_extract_string(props, '$.k')
            WHEN 'purchase' THEN ' ' || json_extract_string(props, '$.k') || ' '
            WHEN 'view' THEN CAST(value AS VARCHAR)
-           WHEN 'error' THEN props END AS item_text
+           WHEN 'error' THEN CASE WHEN event_id % 2 = 0
+             THEN '99999999999999999999' || json_extract_string(props, '$.k') ELSE props END END AS item_text
   FROM events),
 parsed AS (
   SELECT request_id, item_text,
          CASE WHEN regexp_full_match(item_text, '\\s*[+-]?[0-9]+(_[0-9]+)*\\s*')
-              THEN CAST(replace(regexp_replace(item_text, '\\s', '', 'g'), '_', '') AS BIGINT)
+              THEN TRY_CAST(replace(regexp_replace(item_text, '\\s', '', 'g'), '_', '') AS BIGINT)
          END AS item_id
   FROM req),
 st AS (
@@ -387,6 +420,11 @@ ORACLE = {
     "foldin_rank2": FOLDIN_RANK2,
     "foldin_pandas": FOLDIN_RANK2,
     "recommend_rank2_top10": RECOMMEND_RANK2_TOP10,
+    "recommend_vectors_top10": RECOMMEND_VECTORS_TOP10,
+    "foldin_rank64": FOLDIN_RANK64,
+    "als_recommend_checks": ALS_RECOMMEND_CHECKS,
+    "als_similar_checks": ALS_SIMILAR_CHECKS,
+    "similar_blocks_top5": SIMILAR_TOP5,
     "similar_top5": SIMILAR_TOP5,
     "similar_report": SIMILAR_REPORT,
     "search_top10": SEARCH_TOP10,

@@ -6,7 +6,7 @@ DataFrame whose columns match the SQL of ``oracle.py`` by name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import RECOMMEND_N_API, SIMILAR_N_API
@@ -102,6 +102,34 @@ def recommend_rank2_top10(spark: SparkSession, sf: str) -> DataFrame:
                       result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
+def recommend_vectors_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """M4 + M5 on all 64 values: every odd embedding as a user against every embedding."""
+    return _recommendations(spark, sf, 10).select(
+        "user_key", "rank", "item_id", "title", result_round("predicted_score").alias("predicted_score"),
+        result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
+def foldin_rank64(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 at k = 64: every user's fold-in, and whether it solves their normal equations.
+
+    The residual X^T (r - X u) - n lambda u is summed up in column functions,
+    apart from the solver.  The SQL side gives the count and TRUE.
+    """
+    canon = X.canonical_written(spark, sf)
+    items = X.foldin_item_factors(spark, sf, X.FULL_RANK)
+    users = materialize(FI.foldin(canon, items, X.REGULARIZATION, X.FULL_RANK)
+                        .select("user_key", "n", F.col("features").alias("u")), "foldin_rank64")
+    rows = canon.join(items, "item_id").join(users, "user_key")
+    error = F.col("rating") - V.dot("features", "u")
+    part = rows.select("user_key", "n", "u", error.alias("e"), F.posexplode("features").alias("pos", "x"))
+    left = (part.groupBy("user_key", "pos").agg(
+        F.sum(F.col("x") * F.col("e")).alias("s"), F.first("n").alias("n"),
+        F.first(F.col("u")[F.col("pos")]).alias("u")))
+    return left.groupBy("user_key").agg(
+        F.first("n").alias("n"),
+        (F.max(F.abs(F.col("s") - F.col("n") * X.REGULARIZATION * F.col("u"))) <= 1e-6 * (1 + F.first("n"))).alias("ok"))
+
+
 def _search_out(res: DataFrame) -> DataFrame:
     return res.select(F.col("qid").alias("q"), "rank", "item_id", "title",
                       result_round("average_rating").alias("average_rating"), "num_ratings", "tier")
@@ -129,13 +157,15 @@ def search_title_words(spark: SparkSession, sf: str) -> DataFrame:
 def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Similar-item requests derived from the event log (one per event):
     clicks carry the item of ``props.k``, purchases the same text padded with
-    blanks, views their value as text (not an integer), errors the raw props,
-    sign-ups no item at all."""
+    blanks, views their value as text (not an integer), errors the raw props or
+    (even events) a number of more than 20 digits, sign-ups no item at all."""
     ev = tables.table(spark, sf, "events").select("event_id", "event_type", "value", "props")
     k = F.get_json_object("props", "$.k")
     text = (F.when(F.col("event_type") == "click", k)
             .when(F.col("event_type") == "purchase", F.concat(F.lit(" "), k, F.lit(" ")))
             .when(F.col("event_type") == "view", F.col("value").cast("string"))
+            .when((F.col("event_type") == "error") & (F.col("event_id") % 2 == 0),
+                  F.concat(F.lit("9" * 20), k))
             .when(F.col("event_type") == "error", F.col("props")))
     return ev.select(F.col("event_id").alias("request_id"), text.alias("item_text"))
 
@@ -167,10 +197,9 @@ def request_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recommendations(spark: SparkSession, sf: str, n: int) -> DataFrame:
-    items = X.foldin_item_factors(spark, sf)
     canon = X.canonical_written(spark, sf)
-    users = FI.foldin(canon, items, X.REGULARIZATION, 2)
-    return RC.enrich_recommendations(RC.recommend(users, items, n), X.catalogue(spark, sf, canon))
+    recs = RC.recommend(X.vector_users(spark, sf, canon), X.foldin_item_factors(spark, sf, X.FULL_RANK), n)
+    return RC.enrich_recommendations(recs, X.catalogue(spark, sf, canon))
 
 
 def report_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,21 +282,11 @@ def dense_index_users(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense_index(X.canonical(spark, sf), "user_key", "user")
 
 
-# Runs trained in this process, per (Spark application, data folder): the ALS
-# queries of one session share one complete snapshot run (S9 reuse) instead of
-# each fitting the same model again.  Kept in memory only, so a new session
-# never reads a model of data that may have changed since (Q14).
-_RUNS: dict[tuple[str, str], tuple[str, str]] = {}
-
-
 def _trained(spark: SparkSession, sf: str) -> Snapshot:
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
-    if key not in _RUNS:
-        root = fresh_path(spark, "models")
-        raw = tables.raw_ratings(spark, sf, with_order=True)
-        _RUNS[key] = (root, train_snapshot(spark, raw, root, X.ALS_PARAMS, force=True))
-    root, run = _RUNS[key]
-    return Snapshot(spark, root, run)
+    """A model of the given tables, trained here and now."""
+    root = fresh_path(spark, "models")
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    return Snapshot(spark, root, train_snapshot(spark, raw, root, X.ALS_PARAMS, force=True))
 
 
 def training_triples_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,6 +334,61 @@ def model_checks_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return TR.model_checks(index, tables.embedding_vectors(spark, sf), 64)
 
 
+def _recommend_facts(recs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Per user: rows, ranks 1..n in score order, no rated item, scores equal to the dot product."""
+    joined = (recs.join(users.select("user_key", F.col("features").alias("u"), "rated"), "user_key")
+              .join(items.select("item_id", "features"), "item_id"))
+    fresh = ~F.array_contains("rated", F.col("item_id"))
+    exact = F.abs(V.dot("u", "features") - F.col("predicted_score")) <= 1e-9 * (1 + F.abs("predicted_score"))
+    last = F.lag("predicted_score").over(Window.partitionBy("user_key").orderBy("rank"))
+    rows = joined.select("user_key", "rank", fresh.alias("fresh"), exact.alias("exact"),
+                         F.coalesce(last >= F.col("predicted_score"), F.lit(True)).alias("down"))
+    return rows.groupBy("user_key").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        ((F.max("rank") == F.count(F.lit(1))) & (F.countDistinct("rank") == F.count(F.lit(1)))
+         & F.min("down")).alias("ranks_ok"),
+        F.min("fresh").alias("none_rated"), F.min("exact").alias("scores_ok"))
+
+
+def als_recommend_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The trained recommend flow, checked: facts per user that SQL states on its own."""
+    items = _trained(spark, sf).item_vectors()
+    users = materialize(FI.foldin(X.canonical_written(spark, sf), items, X.ALS_PARAMS.regularization,
+                                  X.ALS_PARAMS.factors), "als_users")
+    return _recommend_facts(RC.recommend(users, items, 10), users, items)
+
+
+def _similar_facts(sim: DataFrame, units: DataFrame) -> DataFrame:
+    """Per source: rows, ranks 1..n in order, not itself, cosines equal to the dot product."""
+    joined = (sim.join(units.select(F.col("id").alias("src_id"), F.col("unit").alias("u")), "src_id")
+              .join(units.select(F.col("id").alias("item_id"), F.col("unit").alias("v")), "item_id"))
+    exact = (F.abs(V.dot("u", "v") - F.col("similarity")) <= 1e-9) & (F.abs("similarity") <= 1 + 1e-9)
+    last = F.lag("similarity").over(Window.partitionBy("src_id").orderBy("rank"))
+    rows = joined.select("src_id", "rank", (F.col("src_id") != F.col("item_id")).alias("other"), exact.alias("exact"),
+                         F.coalesce(last >= F.col("similarity"), F.lit(True)).alias("down"))
+    return rows.groupBy("src_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        ((F.max("rank") == F.count(F.lit(1))) & (F.countDistinct("rank") == F.count(F.lit(1)))
+         & F.min("down")).alias("ranks_ok"),
+        F.min("other").alias("no_self"), F.min("exact").alias("scores_ok"))
+
+
+def als_similar_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The trained similar flow, checked: facts per item that SQL states on its own."""
+    units = materialize(_trained(spark, sf).item_units(), "als_units")
+    return _similar_facts(S.similar_items(units, 10), units)
+
+
+def similar_blocks_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 by the block form of the scorer, which larger models take: same answer as ``similar_top5``."""
+    items, users = X.similarity_factors(spark, sf)
+    units = S.projected_units(items, V.mean_direction(users, "features"))
+    sim = S.similar_items(units, 5, broadcast_bytes=0, block_bytes=32 * 1024)
+    return S.enrich_similar(sim, X.catalogue(spark, sf)).select(
+        "src_id", "src_title", "rank", "item_id", "title", result_round("similarity").alias("similarity"),
+        result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
 def als_recommend_top10(spark: SparkSession, sf: str) -> DataFrame:
     """The whole flow: train ALS into a snapshot, fold every user in over the
     trained item factors, top 10 unrated items per user, catalogue rows."""
@@ -378,6 +452,11 @@ QUERIES = {
     "foldin_rank2": foldin_rank2,
     "foldin_pandas": foldin_pandas,
     "recommend_rank2_top10": recommend_rank2_top10,
+    "recommend_vectors_top10": recommend_vectors_top10,
+    "foldin_rank64": foldin_rank64,
+    "similar_blocks_top5": similar_blocks_top5,
+    "als_recommend_checks": als_recommend_checks,
+    "als_similar_checks": als_similar_checks,
     "similar_top5": similar_top5,
     "similar_report": similar_report,
     "search_top10": search_top10,

@@ -30,10 +30,10 @@ def write_seq() -> "F.Column":
     """The write order ``(l_orderkey, l_linenumber, l_quantity)`` packed into one
     long, so "last write wins" is a ``max_by`` over a fixed-width key (hash
     aggregation, not sort aggregation).  Lines are numbered 1-7 and quantities
-    are whole numbers up to 50 in this data; a row outside the packing range
+    are whole numbers up to 50 in this data; a null counts as 0; a row outside the packing range
     fails the job instead of being ordered wrongly.
     """
-    ok, ln, q = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity")
+    ok, ln, q = (F.coalesce(F.col(c), F.lit(0)) for c in ("l_orderkey", "l_linenumber", "l_quantity"))
     fits = (ln.between(0, 7) & q.between(0, 63) & (q == F.floor(q))
             & ok.between(0, (1 << 54) - 1))
     packed = (ok * 8 + ln) * 64 + q.cast("long")
