@@ -36,9 +36,12 @@ HEADLINE = [
     "dense_index_users",
     "foldin_rank2",
     "foldin_pandas",
+    "foldin_rank64",
     "recommend_rank2_top10",
+    "recommend_vectors_top10",
     "report_pages",
     "similar_top5",
+    "similar_blocks_top5",
     "search_top10",
     "search_title_words",
     "recommend_request_status",

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,19 +83,11 @@ def unit_projection(v, direction) -> Column:
 def mean_vector(df: DataFrame, vec: str) -> DataFrame:
     """Element-wise mean of a vector column as a one-row ``array<double>`` table.
 
-    ``posexplode`` + ``avg`` per position is a plain grouped aggregate, so each
-    map task combines its rows first and only k partial rows per task shuffle.
+    MLlib's summarizer adds whole vectors up in each map task; one vector per
+    task is shuffled.
     """
-    per_pos = (
-        df.select(F.posexplode(as_doubles(vec)).alias("pos", "x"))
-        .groupBy("pos")
-        .agg(F.avg("x").alias("m"))
-    )
-    return per_pos.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]
-        ).alias("mean")
-    )
+    mean = Summarizer.mean(array_to_vector(as_doubles(vec)))
+    return df.where(F.col(vec).isNotNull()).agg(vector_to_array(mean).alias("mean"))
 
 
 def mean_direction(df: DataFrame, vec: str) -> DataFrame:

@@ -59,18 +59,21 @@ def training_ratings(raw_with_order: DataFrame, min_count: int,
 
 
 def dataset_counts(ratings: DataFrame, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
-    """A3: ratings, users and items of a ratings table in one pass.
+    """A3: ratings, users and items of a ratings table.
 
-    Exact distinct counts shuffle the keys; ``approximate`` uses HyperLogLog++
-    sketches (relative error ``rsd``) merged map-side, one small row per task.
+    Exact distinct counts are a plain distinct each, so no row is repeated per
+    count; ``approximate`` uses HyperLogLog++ sketches (relative error ``rsd``)
+    merged map-side, one small row per task.
     """
+    count = F.count(F.lit(1))
     if approximate:
         users = F.approx_count_distinct("user_key", rsd)
         items = F.approx_count_distinct("item_id", rsd)
-    else:
-        users, items = F.countDistinct("user_key"), F.countDistinct("item_id")
-    return ratings.agg(F.count(F.lit(1)).alias("n_ratings"),
-                       users.alias("n_users"), items.alias("n_items"))
+        return ratings.agg(count.alias("n_ratings"), users.alias("n_users"), items.alias("n_items"))
+    users, items = (ratings.select(c).where(F.col(c).isNotNull()).distinct().agg(count).scalar()
+                    for c in ("user_key", "item_id"))
+    return ratings.agg(count.alias("n_ratings")).select(
+        "n_ratings", users.alias("n_users"), items.alias("n_items"))
 
 
 def require_rows(df: DataFrame, what: str) -> None:

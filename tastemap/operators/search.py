@@ -41,7 +41,7 @@ def title_grams(catalogue: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """``(qid, item_id)`` pairs whose title contains the query.
+    """Pairs of a query and a catalogue row whose title contains it.
 
     The rarest gram of each query is found from the gram frequencies (a
     grouped count with map-side partial counts); hot grams in the join are
@@ -60,11 +60,12 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     best = (qg.join(freq, "gram", "left")
             .groupBy("qid", "ql")
             .agg(F.array_min(pairs)["gram"].alias("gram")))
-    titles = catalogue.select("item_id", TX.fold("title").alias("tl"))
+    titles = catalogue.select("item_id", "title", "average_rating", "num_ratings",
+                              TX.fold("title").alias("tl"))
     return (best.join(tg, "gram")
             .join(titles, "item_id")
             .where(F.col("tl").contains(F.col("ql")))
-            .select("qid", "item_id", "tl", "ql"))
+            .select("qid", "item_id", "title", "average_rating", "num_ratings", "tl", "ql"))
 
 
 def search(queries: DataFrame, catalogue: DataFrame, n: int = SEARCH_N,
@@ -79,8 +80,7 @@ def search(queries: DataFrame, catalogue: DataFrame, n: int = SEARCH_N,
     tier = (F.when(F.col("tl").startswith(F.col("ql")), 1)
             .when(F.col("tl").contains(F.concat(F.lit(" "), F.col("ql"))), 2)
             .otherwise(3))
-    scored = (cand.withColumn("tier", tier)
-              .join(catalogue.select("item_id", "title", "average_rating", "num_ratings"), "item_id"))
+    scored = cand.withColumn("tier", tier)
     w = Window.partitionBy("qid").orderBy("tier", F.desc_nulls_last("num_ratings"), "item_id")
     return (scored.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= n)

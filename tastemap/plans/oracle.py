@@ -262,15 +262,22 @@ FROM recs GROUP BY user_key
 """
 
 LIST_PAGES_EXPLODED = "WITH " + RAW + """
-SELECT user_key, item_id, rating FROM raw WHERE rating > 0
+SELECT CAST(user_key AS VARCHAR) AS user_key, item_id, rating FROM raw WHERE rating > 0
 """
 
 LIST_PAGES_SUMMARY = "WITH " + RAW + """
-SELECT user_key, CAST(ceil(count(*) / 1000) AS BIGINT) AS pages, count(*) AS entries,
+SELECT CAST(user_key AS VARCHAR) AS user_key, CAST(ceil(count(*) / 1000) AS BIGINT) AS pages, count(*) AS entries,
        count(*) FILTER (WHERE rating > 0) AS rated, TRUE AS complete
 FROM raw GROUP BY user_key
 """
 
+LIST_PAGES_GAP = "WITH " + RAW + """
+SELECT CAST(user_key AS VARCHAR) AS user_key,
+       CAST(ceil(count(*) / 20) - CASE WHEN count(*) > 20 AND user_key % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS pages,
+       NOT (count(*) > 20 AND user_key % 7 = 0) AS complete
+FROM raw GROUP BY user_key
+"""
+
 QUOTA_DAILY = """
 SELECT user_id AS client, event_type AS endpoint, date_trunc('day', ts) AS window_start,
        date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS calls,
@@ -439,6 +446,7 @@ ORACLE = {
     "list_pages_exploded": LIST_PAGES_EXPLODED,
     "list_pages_summary": LIST_PAGES_SUMMARY,
     "list_pages_stream": LIST_PAGES_EXPLODED,
+    "list_pages_gap": LIST_PAGES_GAP,
     "quota_daily": QUOTA_DAILY,
     "quota_daily_stream": QUOTA_DAILY,
     "quota_hourly_by_endpoint": QUOTA_HOURLY_BY_ENDPOINT,

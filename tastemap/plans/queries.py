@@ -55,9 +55,10 @@ def popularity_filtered_counts(spark: SparkSession, sf: str) -> DataFrame:
     ``n_raw_rated`` counts rated rows of popular items before the dedupe (what
     the reference trains on); the other counts describe the canonical set.
     """
-    raw = tables.raw_ratings(spark, sf, with_order=True)
+    # The joined view is written, as three aggregates read it.
+    raw = materialize(tables.raw_ratings(spark, sf, with_order=True), "raw_ratings")
     popular = materialize(R.popular_items(raw.select("item_id"), X.MIN_RATINGS), "popular_items")
-    train = R.training_ratings(raw, X.MIN_RATINGS, popular=popular)
+    train = materialize(R.training_ratings(raw, X.MIN_RATINGS, popular=popular), "training_ratings")
     popular_ids = sized_broadcast(popular.select("item_id"), row_bytes=16)
     raw_rated = R.rated_only(raw).join(popular_ids, "item_id", "left_semi")
     return R.dataset_counts(train).select(
@@ -248,6 +249,14 @@ def list_pages_summary(spark: SparkSession, sf: str) -> DataFrame:
     return JP.page_summary(_landed_pages(spark, sf))
 
 
+def list_pages_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """Q20 with pages of 20 entries, the second page of every seventh user lost."""
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    pages = JP.read_pages(spark, JP.land_pages(raw, fresh_path(spark, "list_pages"), 20, spread_cols=("seq",)))
+    lost = (F.col("user_key").cast("long") % 7 == 0) & (F.col("page") == 1)
+    return JP.page_summary(pages.where(~lost)).select("user_key", "pages", "complete")
+
+
 def quota_daily(spark: SparkSession, sf: str) -> DataFrame:
     """T1 in batch: calls per client, endpoint and day over the quota."""
     return QT.over_quota(tables.request_log(spark, sf), X.QUOTA_WINDOW, X.QUOTA_LIMIT)
@@ -471,6 +480,7 @@ QUERIES = {
     "list_pages_exploded": list_pages_exploded,
     "list_pages_summary": list_pages_summary,
     "list_pages_stream": list_pages_stream,
+    "list_pages_gap": list_pages_gap,
     "quota_daily": quota_daily,
     "quota_daily_stream": quota_daily_stream,
     "quota_hourly_by_endpoint": quota_hourly_by_endpoint,

@@ -47,7 +47,7 @@ DIRECTION = T.StructType([
 
 # One landed user-list page.
 LIST_PAGE = T.StructType([
-    T.StructField("user_key", T.LongType(), True),
+    T.StructField("user_key", T.StringType(), True),
     T.StructField("page", T.IntegerType(), True),
     T.StructField("data", T.ArrayType(T.StructType([
         T.StructField("node", T.StructType([T.StructField("id", T.LongType(), True)]), True),

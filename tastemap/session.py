@@ -22,12 +22,15 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.shuffle.partitions": "8",
 }
 
 
-def build_session(master: str = "local[8]", app: str = "tastemap", **conf) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+def build_session(master: str | None = None, app: str = "tastemap", **conf) -> SparkSession:
+    """A session with the defaults above; ``conf`` goes before them, and what the
+    cluster's own configuration submits (the master, say) stays unless given here."""
+    builder = SparkSession.builder.appName(app)
+    if master is not None:
+        builder = builder.master(master)
     for key, value in {**DEFAULT_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -3,7 +3,7 @@
 A landed page is one JSON line ``{user_key, page, data: [{node: {id},
 list_status: {score?}}], paging: {next?}}``.  Ingest reads the pages with an
 explicit schema, explodes the entries, reads a missing score as 0 and keeps
-rated entries only; a page without ``paging.next`` is the user's last (Q20).
+rated entries only; a page without ``paging.next`` is the user's last (Q20).  User keys are text.
 """
 
 from __future__ import annotations
@@ -13,31 +13,34 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..fixed import LIST_PAGE_ENTRIES
+from ..operators.positions import with_positions
 
 
 def land_pages(ratings: DataFrame, path: str, page_entries: int = LIST_PAGE_ENTRIES,
                spread_cols: tuple[str, ...] = ()) -> str:
     """Write a ratings table as user-list pages below ``path``; returns the path.
 
-    Entries go to ``ceil(count / page_entries)`` pages of their user by a hash
-    of the entry, so a user's pages are built as bounded groups in parallel
-    (no per-user window); ``spread_cols`` (e.g. the write order) join the
-    hash so repeated entries of one user spread over pages.  An unrated entry has ``score: 0`` or no score at
-    all (both read as "not rated").
+    A user's entries are numbered in the order of ``spread_cols`` (e.g. the
+    write order) and the item, and cut into pages of ``page_entries``; the last
+    may be shorter.  The numbers need no per-user window (``with_positions``),
+    so a long list is landed by many tasks.  An unrated entry has ``score: 0``
+    or no score at all (both read as "not rated").
     """
+    ratings = ratings.withColumn("user_key", F.col("user_key").cast("string"))
+    placed = with_positions(ratings, [F.col("user_key"), *map(F.col, spread_cols), F.col("item_id"), F.col("rating")],
+                            "list_positions", group="user_key")
     per_user = ratings.groupBy("user_key").agg(
         F.ceil(F.count(F.lit(1)) / page_entries).cast("int").alias("n_pages"))
-    entry_hash = F.xxhash64("user_key", "item_id", "rating", *spread_cols)
     score = (F.when(F.col("rating") > 0, F.col("rating"))
              .when(F.pmod(F.col("item_id"), F.lit(2)) == 0, F.lit(0)))
-    entries = (ratings.join(per_user, "user_key")
-               .withColumn("page", F.pmod(entry_hash, F.col("n_pages")).cast("int"))
+    entries = (placed.join(per_user, "user_key")
+               .withColumn("page", F.floor(F.col("position") / page_entries).cast("int"))
                .select("user_key", "page", "n_pages",
                        F.struct(F.struct(F.col("item_id").alias("id")).alias("node"),
                                 F.struct(score.cast("int").alias("score")).alias("list_status"))
                        .alias("entry")))
     nxt = F.when(F.col("page") + 1 < F.col("n_pages"),
-                 F.format_string("list://%d?page=%d", F.col("user_key"), F.col("page") + 1))
+                 F.format_string("list://%s?page=%d", F.col("user_key"), F.col("page") + 1))
     pages = (entries.groupBy("user_key", "page", "n_pages")
              .agg(F.collect_list("entry").alias("data"))
              .select("user_key", "page", "data", F.struct(nxt.alias("next")).alias("paging")))
@@ -59,9 +62,10 @@ def ingest(pages: DataFrame) -> DataFrame:
 
 def page_summary(pages: DataFrame) -> DataFrame:
     """Q20: per user, pages read, entries, rated entries, and whether the list
-    is complete (one page without a next link)."""
+    is complete: all pages from 0 to the last are there, and the last alone
+    has no next link."""
     per_page = pages.select(
-        "user_key", F.size("data").alias("entries"),
+        "user_key", "page", F.size("data").alias("entries"),
         F.size(F.filter("data", lambda e: F.coalesce(e["list_status"]["score"], F.lit(0)) > 0))
         .alias("rated"),
         F.col("paging.next").isNull().cast("int").alias("last"))
@@ -69,4 +73,6 @@ def page_summary(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pages"),
         F.sum("entries").cast("long").alias("entries"),
         F.sum("rated").cast("long").alias("rated"),
-        (F.sum("last") == 1).alias("complete"))
+        F.coalesce((F.countDistinct("page") == F.max("page") + 1)
+                   & (F.min(F.when(F.col("last") == 1, F.col("page"))) == F.max("page")),
+                   F.lit(False)).alias("complete"))

@@ -1,17 +1,19 @@
+from pyspark.sql import functions as F
+
 from tastemap.sources import json_pages as JP
 from tastemap.sources import snapshot as SN
 
 
 def test_pages_round_trip_and_scores(spark, tmp_root):
-    rows = [(1, i, (i % 4)) for i in range(2500)] + [(2, 5, 0), (2, 6, 3)]
-    ratings = spark.createDataFrame(rows, "user_key long, item_id long, rating int")
+    rows = [("bob", i, (i % 4)) for i in range(2500)] + [("2", 5, 0), ("2", 6, 3)]
+    ratings = spark.createDataFrame(rows, "user_key string, item_id long, rating int")
     path = JP.land_pages(ratings, f"{tmp_root}/pages")
     pages = JP.read_pages(spark, path)
     got = sorted((r.user_key, r.item_id, r.rating) for r in JP.ingest(pages).collect())
     assert got == sorted(r for r in rows if r[2] > 0)
     summ = {r.user_key: r for r in JP.page_summary(pages).collect()}
-    assert summ[1].pages == 3 and summ[1].entries == 2500 and summ[1].complete
-    assert summ[2].pages == 1 and summ[2].rated == 1
+    assert summ["bob"].pages == 3 and summ["bob"].entries == 2500 and summ["bob"].complete
+    assert summ["2"].pages == 1 and summ["2"].rated == 1
 
 
 def test_page_without_score_or_next(spark, tmp_root):
@@ -57,4 +59,16 @@ def test_page_stream_restart_is_exactly_once(spark, tmp_root):
     JP.land_pages(r2, f"{tmp_root}/landing/b")
     run_ingest(spark, f"{tmp_root}/landing/*", out, ckpt).awaitTermination()
     got = sorted((r.user_key, r.item_id) for r in spark.read.parquet(out).collect())
-    assert got == sorted([(1, i) for i in range(10)] + [(2, i) for i in range(5)])
+    assert got == sorted([("1", i) for i in range(10)] + [("2", i) for i in range(5)])
+
+
+def test_a_lost_page_is_seen_and_pages_are_full(spark, tmp_root):
+    rows = [(u, i, 3) for u in ("a b", "ünï", "7") for i in range(23)]
+    ratings = spark.createDataFrame(rows, "user_key string, item_id long, rating int")
+    pages = JP.read_pages(spark, JP.land_pages(ratings, f"{tmp_root}/pages", page_entries=5))
+    sizes = sorted((r.user_key, r.page, len(r.data)) for r in pages.collect())
+    assert sizes == sorted((u, p, 5 if p < 4 else 3) for u in ("a b", "ünï", "7") for p in range(5))
+    assert all(r.complete for r in JP.page_summary(pages).collect())
+    for gone in range(5):
+        left = pages.where(~((F.col("user_key") == "7") & (F.col("page") == gone)))
+        assert {r.user_key: r.complete for r in JP.page_summary(left).collect()} == {"a b": True, "ünï": True, "7": False}
