@@ -41,6 +41,8 @@ ARCHIVE_BYTES = 16_000_000
 SAMPLE_BYTES = 400_000
 DICTIONARY_BYTES = 16_384
 LEVEL = 3
+#: Compressed bytes that a frame's decoder is given at a time.
+FEED_BYTES = 16_384
 
 RECORD_TYPE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -162,13 +164,18 @@ def read_archive(content: bytes):
             raise DamagedArchive(f"no frame at byte {at}")
         said = zstandard.get_frame_parameters(view[at:at + 18]).content_size
         frame = decoder.decompressobj()
+        parts, end = [], at
         try:
-            record = frame.decompress(view[at:])
+            # Fed by parts: what lies behind a frame is copied, so the whole rest would be per record.
+            while not frame.eof and end < len(content):
+                parts.append(frame.decompress(view[end:end + FEED_BYTES]))
+                end = min(end + FEED_BYTES, len(content))
         except zstandard.ZstdError as error:
             raise DamagedArchive(f"frame at byte {at}: {error}") from error
+        record = b"".join(parts)
         if not frame.eof or len(record) != said:
             raise DamagedArchive(f"frame at byte {at} is cut off or not {said} bytes long")
-        at = len(content) - len(frame.unused_data)
+        at = end - len(frame.unused_data)
         yield record
 
 

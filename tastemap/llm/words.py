@@ -63,19 +63,16 @@ class Run:
 
     def trimmed(self) -> None:
         """Takes ASCII punctuation off both ends of every word; words of nothing else go."""
-        for _ in range(64):
-            at = np.flatnonzero((self.start < self.end) & _MARK[self.data[np.minimum(self.start, len(self.data) - 1)]]) \
-                if len(self.data) else []
-            if not len(at):
-                break
-            self.start[at] += 1
-        for _ in range(64):
-            at = np.flatnonzero((self.start < self.end) & _MARK[self.data[self.end - 1]]) if len(self.data) else []
-            if not len(at):
-                break
-            self.end[at] -= 1
-        some = self.start < self.end
-        self.start, self.end, self.text = self.start[some], self.end[some], self.text[some]
+        n = len(self.data)
+        if not n:
+            return
+        mark, at = _MARK[self.data], np.arange(n)
+        # For each byte the first one from there on, and the last one up to there, that is no mark.
+        after = np.minimum.accumulate(np.where(mark, n, at)[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(mark, -1, at))
+        start, end = after[self.start], before[self.end - 1] + 1
+        some = start < end
+        self.start, self.end, self.text = start[some], end[some], self.text[some]
 
     def shingles(self, word_hash: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each ``size``-word shingle and the index of its first word."""

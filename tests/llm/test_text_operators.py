@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tastemap.llm import bpe, fingerprint, packing, rules, warc
+from tastemap.llm.words import runs
 from tastemap.session import fresh_path
 
 from .conftest import SF, words_of
@@ -223,3 +225,20 @@ def test_registered_queries_have_the_contract_columns(spark):
 def test_model_bytes_are_the_ranks():
     assert base64.b64encode(TOKENS[0]) and len(TOKENS) == 50256
     assert CODEC.processor.get_piece_size() == len(TOKENS) + 1
+
+
+def test_words_are_trimmed_whatever_the_run_of_marks():
+    texts = ["", "!" * 5000, f"{'-' * 300}ab{'.' * 300} c", "é! (x,y)", "...", "z"]
+    run, = runs(pa.array(texts))
+    run.trimmed()
+    got = [bytes(run.data[a:b]).decode() for a, b in zip(run.start, run.end)]
+    assert got == ["ab", "c", "é", "x,y", "z"] and run.text.tolist() == [2, 2, 3, 3, 5]
+
+
+def test_archive_frames_longer_and_shorter_than_a_feed():
+    rng = np.random.default_rng(3)
+    records = [rng.bytes(n) for n in (1, 0, 200_000, 5, warc.FEED_BYTES, 70_000)] + [b"same " * 90] * 200
+    content = warc.write_archive(records)
+    assert list(warc.read_archive(content)) == records
+    with pytest.raises(warc.DamagedArchive):
+        list(warc.read_archive(content[:-3]))
