@@ -22,6 +22,7 @@ SEARCH_TERMS = ["an", "blu", "NVIL", "zzz"]
 QUOTA_WINDOW = "1 day"
 QUOTA_LIMIT = 2
 ITEM_BASE_URL = "/items/"
+LISTED_BRAND = "Brand#1"   # whose parts the small catalogue lists
 # ALS with the default parameters but the fixture's popularity threshold.
 ALS_PARAMS = ALSParams(min_ratings=MIN_RATINGS)
 FULL_RANK = 64            # values of an embedding

@@ -140,10 +140,10 @@ FROM ranked r JOIN catalogue c ON c.item_id = r.item_id
 WHERE r.rank <= 10
 """
 
-def _search(terms: str) -> str:
+def _search(terms: str, least: int = 1) -> str:
     return "WITH " + CATALOGUE + f""",
 terms AS ({terms}),
-clean AS (SELECT q, lower(trim(q)) AS ql FROM terms WHERE length(trim(q)) >= 1),
+clean AS (SELECT q, lower(trim(q)) AS ql FROM terms WHERE length(trim(q)) >= {least}),
 m AS (
   SELECT t.q, c.item_id, c.title, c.average_rating, c.num_ratings,
          CASE WHEN starts_with(lower(c.title), t.ql) THEN 1
@@ -166,6 +166,10 @@ SEARCH_TITLE_WORDS = _search("""
     SELECT w AS q FROM words WHERE length(w) > 0
     UNION ALL SELECT upper(substr(w, 1, 3)) FROM words WHERE length(w) > 0)""")
 
+SEARCH_AS_TYPED = _search("""
+  WITH words AS (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
+  SELECT DISTINCT substr(w, 1, n) AS q FROM words, (VALUES (1), (2), (3)) v(n) WHERE length(w) > 0""", 2)
+
 SIMILAR_REQUEST_STATUS = r"""
 WITH req AS (
   SELECT event_id AS request_id,
@@ -255,9 +259,23 @@ SELECT user_key, rank, item_id, title, {r6('predicted_score')} AS predicted_scor
        {r6('average_rating')} AS average_rating, num_ratings FROM recs
 """
 
+RECOMMEND_PLACEHOLDERS = _ranked_recs(10) + f""",
+listed AS (SELECT * FROM catalogue WHERE item_id IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#1')),
+found AS (
+  SELECT r.user_key, r.rank, r.item_id, c.title, c.average_rating, c.num_ratings, c.item_id IS NOT NULL AS hit,
+         count(c.item_id) OVER (PARTITION BY r.user_key) AS hits
+  FROM ranked r LEFT JOIN listed c ON c.item_id = r.item_id WHERE r.rank <= 10)
+SELECT user_key, rank, item_id, coalesce(title, 'Item ' || CAST(item_id AS VARCHAR)) AS title,
+       {r6('average_rating')} AS average_rating, coalesce(num_ratings, 0) AS num_ratings
+FROM found WHERE hit OR hits = 0
+"""
+
 RESULT_ENVELOPE_COUNTS = _ranked_recs(10) + """
 SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
-       arg_max(item_id, rank) AS last_item_id, TRUE AS has_json
+       arg_max(item_id, rank) AS last_item_id,
+       CAST(to_json({'user_key': user_key,
+                     'recommendations': list({'item_id': item_id, 'title': title} ORDER BY rank),
+                     'total_items': count(*)}) AS VARCHAR) AS json
 FROM recs GROUP BY user_key
 """
 
@@ -330,7 +348,8 @@ FROM model
 
 ALS_MODEL_CHECKS = TRAIN + """
 SELECT count(DISTINCT item_id) AS n_index, count(DISTINCT item_id) AS n_factors,
-       0::BIGINT AS missing, 0::BIGINT AS orphans, 0::BIGINT AS bad_length
+       0::BIGINT AS missing, 0::BIGINT AS orphans, 0::BIGINT AS bad_length,
+       0::BIGINT AS not_finite
 FROM train
 """
 
@@ -340,7 +359,9 @@ SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS n_index,
        (SELECT count(*) FROM (SELECT DISTINCT p_partkey FROM part) p
          WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)) AS missing,
        (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)) AS orphans,
-       (SELECT count(*) FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64) AS bad_length
+       (SELECT count(*) FROM embeddings WHERE embedding IS NULL OR len(embedding) <> 64) AS bad_length,
+       (SELECT count(*) FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0)
+         AS not_finite
 """
 
 QUOTA_HOURLY_BY_ENDPOINT = """
@@ -351,6 +372,18 @@ FROM events GROUP BY ALL
 HAVING count(*) > CASE WHEN event_type = 'signup' THEN 2 ELSE 1 END
 """
 
+QUOTA_HOURLY_ROUTES = """
+WITH log AS (
+  SELECT user_id AS client, ts, CASE event_type WHEN 'view' THEN 'recommendations' WHEN 'click' THEN 'similar'
+                                ELSE 'search' END AS endpoint FROM events),
+quotas(endpoint, quota) AS (VALUES ('recommendations', 30::BIGINT), ('similar', 60), ('search', 1000)),
+calls AS (
+  SELECT client, endpoint, date_trunc('hour', ts) AS window_start, count(*) AS calls FROM log GROUP BY ALL)
+SELECT c.client, c.endpoint, c.window_start, c.window_start + INTERVAL 1 HOUR AS window_end, c.calls, q.quota,
+       c.calls > q.quota AS over_quota
+FROM calls c JOIN quotas q ON q.endpoint = c.endpoint
+"""
+
 RECOMMEND_REQUESTS_SERVED = _ranked_recs(10, FOLDIN_K2, "u.u0 * i.x0 + u.u1 * i.x1") + """,
 per_user AS (
   SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
@@ -406,6 +439,8 @@ env AS (
   FROM sim GROUP BY src_id)
 SELECT st.request_id, st.item_id, st.status,
        CASE WHEN st.status = 'ok' THEN c.title END AS src_title,
+       CASE WHEN st.status = 'ok' THEN {r6('c.average_rating')} END AS src_average_rating,
+       CASE WHEN st.status = 'ok' THEN c.num_ratings END AS src_num_ratings,
        coalesce(env.total_items, 0) AS total_items, env.first_item_id,
        {r6('env.best')} AS best_similarity
 FROM st LEFT JOIN env ON env.src_id = st.item_id AND st.status = 'ok'
@@ -428,6 +463,7 @@ ORACLE = {
     "foldin_pandas": FOLDIN_RANK2,
     "recommend_rank2_top10": RECOMMEND_RANK2_TOP10,
     "recommend_vectors_top10": RECOMMEND_VECTORS_TOP10,
+    "recommend_placeholders": RECOMMEND_PLACEHOLDERS,
     "foldin_rank64": FOLDIN_RANK64,
     "als_recommend_checks": ALS_RECOMMEND_CHECKS,
     "als_similar_checks": ALS_SIMILAR_CHECKS,
@@ -436,6 +472,7 @@ ORACLE = {
     "similar_report": SIMILAR_REPORT,
     "search_top10": SEARCH_TOP10,
     "search_title_words": SEARCH_TITLE_WORDS,
+    "search_as_typed": SEARCH_AS_TYPED,
     "similar_request_status": SIMILAR_REQUEST_STATUS,
     "recommend_request_status": RECOMMEND_REQUEST_STATUS,
     "request_rejects": REQUEST_REJECTS,
@@ -449,7 +486,9 @@ ORACLE = {
     "list_pages_gap": LIST_PAGES_GAP,
     "quota_daily": QUOTA_DAILY,
     "quota_daily_stream": QUOTA_DAILY,
+    "quota_daily_stream_runs": QUOTA_DAILY,
     "quota_hourly_by_endpoint": QUOTA_HOURLY_BY_ENDPOINT,
+    "quota_hourly_routes": QUOTA_HOURLY_ROUTES,
     "dense_index_users": DENSE_INDEX_USERS,
     "training_triples_roundtrip": TRAINING_TRIPLES_ROUNDTRIP,
     "als_stationary": ALS_STATIONARY,

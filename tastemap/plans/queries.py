@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import RECOMMEND_N_API, SIMILAR_N_API
+from ..fixed import RECOMMEND_N_API, SEARCH_MIN_CHARS_CLIENT, SIMILAR_N_API
 from ..functions import vectors as V
 from ..functions.numeric import result_round
 from ..operators import foldin as FI
@@ -110,6 +110,17 @@ def recommend_vectors_top10(spark: SparkSession, sf: str) -> DataFrame:
         result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
+def recommend_placeholders(spark: SparkSession, sf: str) -> DataFrame:
+    """P8 with a catalogue of one brand: items it lacks drop out, but a user of
+    whose top 10 it has none keeps them all under placeholder titles."""
+    recs = RC.recommend(X.vector_users(spark, sf, canon := X.canonical_written(spark, sf)),
+                        X.foldin_item_factors(spark, sf, X.FULL_RANK), 10)
+    brand = tables.table(spark, sf, "part").where(F.col("p_brand") == X.LISTED_BRAND)
+    listed = R.catalogue(brand.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title")), canon)
+    return RC.enrich_recommendations(recs, listed, "reference").select(
+        "user_key", "rank", "item_id", "title", result_round("average_rating").alias("average_rating"), "num_ratings")
+
+
 def foldin_rank64(spark: SparkSession, sf: str) -> DataFrame:
     """M3 at k = 64: every user's fold-in, and whether it solves their normal equations.
 
@@ -155,6 +166,16 @@ def search_title_words(spark: SparkSession, sf: str) -> DataFrame:
     return _search_out(SE.search(terms, X.catalogue(spark, sf), n=10))
 
 
+def search_as_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 while a title word is typed: its first one, two and three letters, of
+    which a client sends those of at least two characters."""
+    words = (tables.titles(spark, sf).select(F.explode(F.split("title", " ")).alias("w"))
+             .where(F.length("w") > 0).distinct())
+    typed = (words.select(F.explode(F.array(*[F.substring("w", 1, i) for i in (1, 2, 3)])).alias("q"))
+             .distinct().select(F.col("q").alias("qid"), "q"))
+    return _search_out(SE.search(typed, X.catalogue(spark, sf), n=10, min_len=SEARCH_MIN_CHARS_CLIENT))
+
+
 def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Similar-item requests derived from the event log (one per event):
     clicks carry the item of ``props.k``, purchases the same text padded with
@@ -209,14 +230,13 @@ def report_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_envelope_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """One envelope per user; its count, first and last entries."""
-    env = RP.envelope(_recommendations(spark, sf, 10), "user_key",
-                      ["item_id", "title", "predicted_score"], "recommendations")
+    """One envelope per user; its JSON text, count, first and last entries."""
+    env = RP.envelope(_recommendations(spark, sf, 10), "user_key", ["item_id", "title"], "recommendations")
     recs = F.col("recommendations")
     return env.select("user_key", "total_items",
                       recs[0]["item_id"].alias("first_item_id"),
                       F.element_at(recs, -1)["item_id"].alias("last_item_id"),
-                      (F.length("json") > 0).alias("has_json"))
+                      "json")
 
 
 def _land(spark: SparkSession, sf: str) -> str:
@@ -286,6 +306,30 @@ def quota_daily_stream(spark: SparkSession, sf: str) -> DataFrame:
     return QT.read_stream_result(spark, f"{base}/out", X.QUOTA_LIMIT)
 
 
+def quota_hourly_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 with the service's own quotas: every hour of every client and route.
+
+    Views ask for recommendations, clicks for similar items, the rest search.
+    """
+    route = (F.when(F.col("endpoint") == "view", "recommendations")
+             .when(F.col("endpoint") == "click", "similar").otherwise("search"))
+    return QT.audit(tables.request_log(spark, sf).withColumn("endpoint", route), "1 hour", QT.route_quotas(spark))
+
+
+def quota_daily_stream_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 in Structured Streaming over a log that lands in four parts, in order of
+    time; the stream is started on its checkpoint after each of them."""
+    log = tables.request_log(spark, sf)
+    base = fresh_path(spark, "quota_runs")
+    cuts = log.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0] or [0, 0, 0]
+    part = sum((F.when(F.unix_micros("ts") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(len(cuts) + 1):
+        log.where(part == i).write.mode("append").parquet(f"{base}/log")
+        source = spark.readStream.schema(log.schema).parquet(f"{base}/log")
+        QT.run_stream(spark, source, f"{base}/out", f"{base}/checkpoint", X.QUOTA_WINDOW).awaitTermination()
+    return QT.read_stream_result(spark, f"{base}/out", X.QUOTA_LIMIT)
+
+
 def dense_index_users(spark: SparkSession, sf: str) -> DataFrame:
     """A2: every rating user -> dense index in key order."""
     return R.dense_index(X.canonical(spark, sf), "user_key", "user")
@@ -444,12 +488,13 @@ def recommend_requests_served(spark: SparkSession, sf: str) -> DataFrame:
 
 def similar_requests_served(spark: SparkSession, sf: str) -> DataFrame:
     """P4 + P5 + M6 + J10 + S10 for every event's similar-item request: status,
-    source title and the top 20 as an envelope (count, first item, best score)."""
+    source title and ratings, and the top 20 as an envelope (count, first item, best score)."""
     items, users = X.similarity_factors(spark, sf)
     units = S.projected_units(items, V.mean_direction(users, "features"))
     out = serve_similar(similar_requests(spark, sf), units, X.catalogue(spark, sf), SIMILAR_N_API)
     sim = F.col("similar")
-    return out.select("request_id", "item_id", "status", "src_title", "total_items",
+    return out.select("request_id", "item_id", "status", "src_title",
+                      result_round("src_average_rating").alias("src_average_rating"), "src_num_ratings", "total_items",
                       sim[0]["item_id"].alias("first_item_id"),
                       result_round(sim[0]["similarity"]).alias("best_similarity"))
 
@@ -462,6 +507,7 @@ QUERIES = {
     "foldin_pandas": foldin_pandas,
     "recommend_rank2_top10": recommend_rank2_top10,
     "recommend_vectors_top10": recommend_vectors_top10,
+    "recommend_placeholders": recommend_placeholders,
     "foldin_rank64": foldin_rank64,
     "similar_blocks_top5": similar_blocks_top5,
     "als_recommend_checks": als_recommend_checks,
@@ -470,6 +516,7 @@ QUERIES = {
     "similar_report": similar_report,
     "search_top10": search_top10,
     "search_title_words": search_title_words,
+    "search_as_typed": search_as_typed,
     "similar_request_status": similar_request_status,
     "recommend_request_status": recommend_request_status,
     "request_rejects": request_rejects,
@@ -483,7 +530,9 @@ QUERIES = {
     "list_pages_gap": list_pages_gap,
     "quota_daily": quota_daily,
     "quota_daily_stream": quota_daily_stream,
+    "quota_daily_stream_runs": quota_daily_stream_runs,
     "quota_hourly_by_endpoint": quota_hourly_by_endpoint,
+    "quota_hourly_routes": quota_hourly_routes,
     "dense_index_users": dense_index_users,
     "training_triples_roundtrip": training_triples_roundtrip,
     "als_stationary": als_stationary,

@@ -49,6 +49,12 @@ def over_quota(log: DataFrame, window: str, quota) -> DataFrame:
     return _with_quota(window_counts(log, window), quota).where(F.col("calls") > F.col("quota"))
 
 
+def audit(log: DataFrame, window: str, quota) -> DataFrame:
+    """Every window's calls beside its quota, ``over_quota`` where there are too many."""
+    return (_with_quota(window_counts(log, window), quota)
+            .withColumn("over_quota", F.col("calls") > F.col("quota")))
+
+
 def run_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str,
                window: str, watermark: str = "1 hour", available_now: bool = True):
     """Run the streaming count from a streaming ``source`` of ``(ts, client, endpoint)``.
@@ -71,6 +77,15 @@ def run_stream(spark: SparkSession, source: DataFrame, out_path: str, checkpoint
     return writer.start()
 
 
+def uncounted(log: DataFrame, out_path: str, window: str) -> DataFrame:
+    """What the stream left out: ``(client, endpoint, window_start, window_end, calls, late)`` of the
+    windows in which the log has more calls than the stream counted (events behind the watermark)."""
+    counted = (log.sparkSession.read.parquet(out_path).groupBy(*KEYS).agg(F.max("calls").alias("counted")))
+    late = F.col("calls") - F.coalesce("counted", F.lit(0))
+    return (window_counts(log, window).join(counted, KEYS, "left").withColumn("late", late)
+            .where(F.col("late") > 0).drop("counted"))
+
+
 def read_stream_result(spark: SparkSession, out_path: str, quota) -> DataFrame:
     """Compact the per-batch changelog: last (largest) count per key, over the quota."""
     changes = spark.read.parquet(out_path)

@@ -43,6 +43,8 @@ def test_stream_drops_late_events(spark, tmp_root):
     assert out == {(1, 10): 4, (2, 0): 1}
     batch = QT.over_quota(spark.createDataFrame(first + late, SCHEMA), "1 hour", 0)
     assert batch.where((F.col("client") == 2)).first().calls == 3
+    left = QT.uncounted(spark.createDataFrame(first + late, SCHEMA), tmp_root + "/out", "1 hour").collect()
+    assert [(r.client, r.calls, r.late) for r in left] == [(2, 3, 2)]
 
 
 def test_route_quotas(spark):
@@ -50,6 +52,8 @@ def test_route_quotas(spark):
            [(t(0, i % 60), 1, "similar") for i in range(31)]
     out = QT.over_quota(spark.createDataFrame(rows, SCHEMA), "1 hour", QT.route_quotas(spark)).collect()
     assert [(r.endpoint, r.calls, r.quota) for r in out] == [("recommendations", 31, 30)]
+    every = QT.audit(spark.createDataFrame(rows, SCHEMA), "1 hour", QT.route_quotas(spark)).collect()
+    assert {(r.endpoint, r.over_quota) for r in every} == {("recommendations", True), ("similar", False)}
 
 
 def test_stream_restart_from_checkpoint_counts_once(spark, tmp_root):
