@@ -1,5 +1,6 @@
 """Sharding, SimHash, substring dedup, quality, toxicity and the pipeline against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -185,6 +186,27 @@ def test_near_duplicate_passage_is_found(spark):
     assert set(got) == {1, 2} and got[2]["class_id"] == 1 and got[1]["start_word"] == 2 and got[2]["end_word"] == 110
 
 
+def missed_pairs(spark, pairs, others=()):
+    """Pairs of passages between words of their own of which nothing is found, their texts in any order."""
+    own = (f"own{i}" for i in range(10**6))
+    texts = [" ".join([next(own) for _ in range(40)] + p + [next(own) for _ in range(30)])
+             for p in [q for pair in pairs for q in pair] + list(others)]
+    ids = list(range(len(texts)))
+    random.Random(1).shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in substring.passages(df).collect()}
+    return sum(ids[2 * i] not in found or ids[2 * i + 1] not in found for i in range(len(pairs)))
+
+
+def test_passages_with_inserted_and_deleted_words(spark):
+    r, pairs = random.Random(5), []
+    for i in range(120):
+        p = [f"p{i}x{k}" for k in range(60)]
+        at = r.randrange(3, 57)
+        pairs.append((p, p[:at] + p[at + 1:] if i % 2 else p[:at] + ["more"] + p[at:]))
+    assert missed_pairs(spark, pairs) <= 2
+
+
 def test_cut_repeats(spark, docs, odd, none):
     cut = substring.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.schema == docs.schema
