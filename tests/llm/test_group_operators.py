@@ -207,6 +207,13 @@ def test_passages_with_inserted_and_deleted_words(spark):
     assert missed_pairs(spark, pairs) <= 2
 
 
+def test_one_agreeing_window_is_a_candidate(spark):
+    place = [(at << 24) | (20 << 12) | 27 for at in (30, 50)]
+    found = spark.createDataFrame([(1, place[0], 2, place[1])], "doc long, place long, doc2 long, place2 long")
+    got = substring.candidates(found).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["a_from"] <= 10 and got[0]["a_to"] >= 57
+
+
 def test_cut_repeats(spark, docs, odd, none):
     cut = substring.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.schema == docs.schema
