@@ -103,13 +103,19 @@ def spans(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def runs(column: pa.Array, lower: bool = False) -> Iterator[Run]:
-    """The column's texts in order, with A-Z lower-cased if asked for."""
+def class_of(*ranges: tuple[int, int]) -> np.ndarray:
+    """Which of the 256 bytes are in one of ``ranges``, ends included."""
+    byte = np.arange(256)
+    return np.logical_or.reduce([(a <= byte) & (byte <= b) for a, b in ranges])
+
+
+def runs(column: pa.Array, lower: bool = False, gap: np.ndarray = _GAP) -> Iterator[Run]:
+    """The column's texts in order, with A-Z lower-cased if asked for; ``gap`` are the bytes between words."""
     data, offsets = buffers(column)
     for i, j in spans(offsets):
         part = LOWER[data[offsets[i]:offsets[j]]] if lower else data[offsets[i]:offsets[j]]
         at = offsets[i:j + 1] - offsets[i]
-        word = ~_GAP[part]
+        word = ~gap[part]
         before, after = np.ones(len(part), bool), np.ones(len(part), bool)
         before[1:] = ~word[:-1]
         after[:-1] = ~word[1:]
