@@ -31,9 +31,14 @@ def as_doubles(v) -> Column:
     return _c(v).cast("array<double>")
 
 
-def head(v, k: int) -> Column:
-    """First ``k`` elements of a vector, as doubles."""
-    return F.slice(as_doubles(v), 1, k)
+def folded(v, size: int, k: int) -> Column:
+    """A vector of ``size`` values as ``k`` sums of neighbouring ones (``size`` is a multiple of ``k``)."""
+    part = size // k
+
+    def total(i: int) -> Column:
+        return F.aggregate(F.slice(as_doubles(v), i * part + 1, part), F.lit(0.0).cast("double"), lambda a, x: a + x)
+
+    return F.array(*[total(i) for i in range(k)])
 
 
 def dot(a, b) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Default ceiling for an explicit broadcast hint; above it the plain join
 # (sort-merge with AQE skew splitting) is used.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -20,6 +22,23 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None,
     return rows * row_bytes <= limit
 
 
+def hot_key_join(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int,
+                 salts: int = 32, limit: int | None = None) -> DataFrame:
+    """``big`` joined (inner or left) with ``small``, of one row per key at most, where a
+    key may hold any share of ``big``.
+
+    ``small`` is written (it may be computed, and is counted); within the bound
+    it is broadcast.  Above it a row of ``big`` goes to one of ``salts`` places
+    of its key by a hash of the row, and ``small`` to all of them.
+    """
+    small = materialize(small, "hot_key_side")
+    if fits_broadcast(small, row_bytes, limit):
+        return big.join(F.broadcast(small), on, how)
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+
+
 def sized_broadcast(df: DataFrame, row_bytes: int, limit: int | None = None,
                     rows: int | None = None) -> DataFrame:
     """Return ``broadcast(df)`` when ``rows * row_bytes`` is within ``limit``.

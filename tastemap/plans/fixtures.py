@@ -68,6 +68,8 @@ def vector_users(spark: SparkSession, sf: str, ratings: DataFrame) -> DataFrame:
 
 
 def foldin_item_factors(spark: SparkSession, sf: str, k: int = FOLDIN_RANK) -> DataFrame:
-    """``(item_id, features array<double>)``: every embedding, first ``k`` values."""
+    """``(item_id, features array<double>)``: every embedding, whole or with its values added up to ``k``."""
+    whole = k == FULL_RANK
     return tables.embedding_vectors(spark, sf).select(
-        F.col("id").alias("item_id"), V.head("features", k).alias("features"))
+        F.col("id").alias("item_id"),
+        (V.as_doubles("features") if whole else V.folded("features", FULL_RANK, k)).alias("features"))

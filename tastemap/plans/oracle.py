@@ -100,10 +100,10 @@ ITEM_STATS = "WITH " + CATALOGUE + f"""
 SELECT item_id, title, {r6('average_rating')} AS average_rating, num_ratings FROM catalogue
 """
 
-# Closed-form fold-in at k = 2 over the first two embedding values, lambda 0.1.
+# Closed-form fold-in at k = 2, lambda 0.1: the values of each half of an embedding are added up.
 FOLDIN_K2 = CANON + """,
-items AS (SELECT vec_id AS item_id, CAST(embedding[1] AS DOUBLE) AS x0,
-                 CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings),
+items AS (SELECT vec_id AS item_id, list_sum(CAST(embedding[1:32] AS DOUBLE[])) AS x0,
+                 list_sum(CAST(embedding[33:64] AS DOUBLE[])) AS x1 FROM embeddings),
 known AS (SELECT c.user_key, c.item_id, c.rating, i.x0, i.x1
           FROM canon c JOIN items i ON i.item_id = c.item_id),
 sums AS (SELECT user_key, sum(x0 * x0) AS a, sum(x0 * x1) AS b, sum(x1 * x1) AS d,
@@ -331,6 +331,13 @@ SELECT user_key, count(*) AS n, TRUE AS ok FROM canon
 WHERE item_id IN (SELECT vec_id FROM embeddings) GROUP BY user_key
 """
 
+FOLDIN_HOUSEHOLD = "WITH " + RAW + """,
+canon AS (
+  SELECT DISTINCT CASE WHEN user_key % 3 = 0 THEN 0 ELSE user_key END AS user_key, item_id FROM raw WHERE rating > 0)
+SELECT user_key, count(*) AS n, TRUE AS ok FROM canon
+WHERE item_id IN (SELECT vec_id FROM embeddings) GROUP BY user_key
+"""
+
 ALS_RECOMMEND_CHECKS = TRAIN + """,
 model AS (SELECT DISTINCT item_id FROM train)
 SELECT user_key, least(10, (SELECT count(*) FROM model) - count(*)) AS n_rows, TRUE AS ranks_ok,
@@ -384,25 +391,23 @@ SELECT c.client, c.endpoint, c.window_start, c.window_start + INTERVAL 1 HOUR AS
 FROM calls c JOIN quotas q ON q.endpoint = c.endpoint
 """
 
-RECOMMEND_REQUESTS_SERVED = _ranked_recs(10, FOLDIN_K2, "u.u0 * i.x0 + u.u1 * i.x1") + """,
-per_user AS (
-  SELECT user_key, count(*) AS total_items, arg_min(item_id, rank) AS first_item_id,
-         arg_max(item_id, rank) AS last_item_id
-  FROM recs GROUP BY user_key),
+RECOMMEND_REQUESTS_SERVED = "WITH " + CANON + """,
 model AS (SELECT vec_id AS item_id FROM embeddings),
 counts AS (
   SELECT c.user_key, count(*) AS n_rated, count(m.item_id) AS n_known
   FROM canon c LEFT JOIN model m ON m.item_id = c.item_id GROUP BY c.user_key),
 st AS (
-  SELECT k.c_custkey AS request_id, k.c_custkey AS user_key,
+  SELECT k.c_custkey AS request_id,
          CASE WHEN k.c_custkey IS NULL THEN 'missing_user'
               WHEN coalesce(n.n_rated, 0) = 0 THEN 'no_rated_items'
               WHEN coalesce(n.n_known, 0) = 0 THEN 'no_known_items'
-              ELSE 'ok' END AS status
+              ELSE 'ok' END AS status, n_known
   FROM customer k LEFT JOIN counts n ON n.user_key = k.c_custkey)
-SELECT st.request_id, st.status, coalesce(p.total_items, 0) AS total_items,
-       p.first_item_id, p.last_item_id
-FROM st LEFT JOIN per_user p ON p.user_key = st.user_key AND st.status = 'ok'
+SELECT request_id, status, CASE WHEN status = 'ok' THEN n_known END AS n_known,
+       CASE WHEN status = 'ok' THEN TRUE END AS solved, CASE WHEN status = 'ok' THEN TRUE END AS counted,
+       CASE WHEN status = 'ok' THEN TRUE END AS ordered, CASE WHEN status = 'ok' THEN TRUE END AS none_rated,
+       CASE WHEN status = 'ok' THEN TRUE END AS scores_ok
+FROM st
 """
 
 SIMILAR_REQUESTS_SERVED = SIMILAR_RANKED + f""",
@@ -460,7 +465,8 @@ ORACLE = {
     "popularity_filtered_counts": POPULARITY_FILTERED_COUNTS,
     "item_stats": ITEM_STATS,
     "foldin_rank2": FOLDIN_RANK2,
-    "foldin_pandas": FOLDIN_RANK2,
+    "foldin_pandas": FOLDIN_RANK64,
+    "foldin_household": FOLDIN_HOUSEHOLD,
     "recommend_rank2_top10": RECOMMEND_RANK2_TOP10,
     "recommend_vectors_top10": RECOMMEND_VECTORS_TOP10,
     "recommend_placeholders": RECOMMEND_PLACEHOLDERS,

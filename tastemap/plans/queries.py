@@ -80,15 +80,56 @@ def _foldin_out(users: DataFrame) -> DataFrame:
 
 
 def foldin_rank2(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 closed form at k = 2 over every user's canonical ratings."""
+    """M3 closed form at k = 2 over every user's canonical ratings; an item's two values
+    are the sums of the halves of its embedding."""
     items = X.foldin_item_factors(spark, sf)
     return _foldin_out(FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2, closed_form=True))
 
 
+def _solved(canon: DataFrame, items: DataFrame, users: DataFrame, lam: float) -> DataFrame:
+    """``(user_key, n, ok)``: whether ``users(user_key, n, u)`` solve their normal equations.
+
+    The residual X^T (r - X u) - n lambda u is summed up in column functions,
+    apart from the solver.
+    """
+    rows = canon.join(items, "item_id").join(users, "user_key")
+    error = F.col("rating") - V.dot("features", "u")
+    part = rows.select("user_key", "n", "u", error.alias("e"), F.posexplode("features").alias("pos", "x"))
+    left = (part.groupBy("user_key", "pos").agg(
+        F.sum(F.col("x") * F.col("e")).alias("s"), F.first("n").alias("n"),
+        F.first(F.col("u")[F.col("pos")]).alias("u")))
+    return left.groupBy("user_key").agg(
+        F.first("n").alias("n"),
+        (F.max(F.abs(F.col("s") - F.col("n") * lam * F.col("u"))) <= 1e-6 * (1 + F.first("n"))).alias("ok"))
+
+
+def _folded_in(spark: SparkSession, sf: str, ratings: DataFrame, split_rows: int | None = None) -> DataFrame:
+    items = X.foldin_item_factors(spark, sf, X.FULL_RANK)
+    users = materialize(FI.foldin(ratings, items, X.REGULARIZATION, X.FULL_RANK, split_rows=split_rows)
+                        .select("user_key", "n", F.col("features").alias("u")), "foldin_rank64")
+    return _solved(ratings, items, users, X.REGULARIZATION)
+
+
+def foldin_rank64(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 at k = 64: every user's fold-in, and whether it solves their normal equations.
+
+    The SQL side gives the count and TRUE.
+    """
+    return _folded_in(spark, sf, X.canonical_written(spark, sf))
+
+
 def foldin_pandas(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 by the general-k pandas solver, run at k = 2 to meet the same oracle."""
-    items = X.foldin_item_factors(spark, sf)
-    return _foldin_out(FI.foldin(X.canonical(spark, sf), items, X.REGULARIZATION, 2, closed_form=False))
+    """``foldin_rank64`` with the users of more than 48 ratings split and merged."""
+    return _folded_in(spark, sf, X.canonical_written(spark, sf), split_rows=48)
+
+
+def foldin_household(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 at k = 64 where one user owns a third of the ratings: every third user is
+    of one household, whose last rating of an item counts."""
+    raw = tables.raw_ratings(spark, sf, with_order=True, rated=True)
+    member = F.when(F.col("user_key") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("user_key"))
+    canon = materialize(R.canonical_ratings(raw.withColumn("user_key", member)), "household_ratings")
+    return _folded_in(spark, sf, canon, split_rows=50)
 
 
 def recommend_rank2_top10(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,27 +162,6 @@ def recommend_placeholders(spark: SparkSession, sf: str) -> DataFrame:
         "user_key", "rank", "item_id", "title", result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
-def foldin_rank64(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 at k = 64: every user's fold-in, and whether it solves their normal equations.
-
-    The residual X^T (r - X u) - n lambda u is summed up in column functions,
-    apart from the solver.  The SQL side gives the count and TRUE.
-    """
-    canon = X.canonical_written(spark, sf)
-    items = X.foldin_item_factors(spark, sf, X.FULL_RANK)
-    users = materialize(FI.foldin(canon, items, X.REGULARIZATION, X.FULL_RANK)
-                        .select("user_key", "n", F.col("features").alias("u")), "foldin_rank64")
-    rows = canon.join(items, "item_id").join(users, "user_key")
-    error = F.col("rating") - V.dot("features", "u")
-    part = rows.select("user_key", "n", "u", error.alias("e"), F.posexplode("features").alias("pos", "x"))
-    left = (part.groupBy("user_key", "pos").agg(
-        F.sum(F.col("x") * F.col("e")).alias("s"), F.first("n").alias("n"),
-        F.first(F.col("u")[F.col("pos")]).alias("u")))
-    return left.groupBy("user_key").agg(
-        F.first("n").alias("n"),
-        (F.max(F.abs(F.col("s") - F.col("n") * X.REGULARIZATION * F.col("u"))) <= 1e-6 * (1 + F.first("n"))).alias("ok"))
-
-
 def _search_out(res: DataFrame) -> DataFrame:
     return res.select(F.col("qid").alias("q"), "rank", "item_id", "title",
                       result_round("average_rating").alias("average_rating"), "num_ratings", "tier")
@@ -474,16 +494,34 @@ def similar_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recommend_requests_served(spark: SparkSession, sf: str) -> DataFrame:
-    """P5 + M5 + S10 for a request from every customer: status, and for the
-    accepted ones the top 10 as an envelope (count, first and last item)."""
+    """P5 + M5 + S10 for a request from every customer on all 64 values: its status, and of
+    the accepted ones whether the answer holds: the user's vector solves their normal
+    equations, the count is that of the entries, scores fall, none is rated, and every
+    score is the dot product of the two vectors."""
     reqs = tables.customers(spark, sf).select(F.col("user_key").alias("request_id"), "user_key")
     canon = X.canonical_written(spark, sf)
-    out = serve_recommendations(reqs, canon, X.foldin_item_factors(spark, sf),
-                                X.catalogue(spark, sf, canon), 10, X.REGULARIZATION, X.FOLDIN_RANK)
-    recs = F.col("recommendations")
-    return out.select("request_id", "status", "total_items",
-                      recs[0]["item_id"].alias("first_item_id"),
-                      F.element_at(recs, -1)["item_id"].alias("last_item_id"))
+    items = materialize(X.foldin_item_factors(spark, sf, X.FULL_RANK), "served_items")
+    out = materialize(serve_recommendations(reqs, canon, items, X.catalogue(spark, sf, canon), 10,
+                                            X.REGULARIZATION, X.FULL_RANK), "served")
+    users = materialize(FI.foldin(canon, items, X.REGULARIZATION, X.FULL_RANK)
+                        .select("user_key", "n", F.col("features").alias("u"), "rated"), "served_users")
+    solved = _solved(canon, items, users.drop("rated"), X.REGULARIZATION).select(
+        "user_key", F.col("n").alias("n_known"), F.col("ok").alias("solved"))
+    entries = (out.where("status = 'ok'").select("user_key", F.posexplode("recommendations").alias("at", "r"))
+               .select("user_key", "at", "r.item_id", "r.predicted_score")
+               .join(items, "item_id").join(users, "user_key"))
+    before = F.lag("predicted_score").over(Window.partitionBy("user_key").orderBy("at"))
+    exact = F.abs(V.dot("u", "features") - F.col("predicted_score")) <= 1e-9 * (1 + F.abs("predicted_score"))
+    facts = (entries.select("user_key", exact.alias("exact"), F.array_contains("rated", F.col("item_id")).alias("old"),
+                            F.coalesce(before >= F.col("predicted_score"), F.lit(True)).alias("falls"))
+             .groupBy("user_key").agg(F.count(F.lit(1)).alias("entries"), F.min("falls").alias("ordered"),
+                                      (~F.max("old")).alias("none_rated"), F.min("exact").alias("scores_ok")))
+    ok = F.col("status") == "ok"
+    return (out.join(solved, "user_key", "left").join(facts, "user_key", "left")
+            .select("request_id", "status", F.when(ok, F.col("n_known")).alias("n_known"),
+                    F.when(ok, F.col("solved")).alias("solved"),
+                    F.when(ok, F.col("total_items") == F.coalesce("entries", F.lit(0))).alias("counted"),
+                    *[F.when(ok, F.coalesce(c, F.lit(True))).alias(c) for c in ("ordered", "none_rated", "scores_ok")]))
 
 
 def similar_requests_served(spark: SparkSession, sf: str) -> DataFrame:
@@ -505,6 +543,7 @@ QUERIES = {
     "item_stats": item_stats,
     "foldin_rank2": foldin_rank2,
     "foldin_pandas": foldin_pandas,
+    "foldin_household": foldin_household,
     "recommend_rank2_top10": recommend_rank2_top10,
     "recommend_vectors_top10": recommend_vectors_top10,
     "recommend_placeholders": recommend_placeholders,

@@ -27,18 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def write_seq() -> "F.Column":
-    """The write order ``(l_orderkey, l_linenumber, l_quantity)`` packed into one
-    long, so "last write wins" is a ``max_by`` over a fixed-width key (hash
-    aggregation, not sort aggregation).  Lines are numbered 1-7 and quantities
-    are whole numbers up to 50 in this data; a null counts as 0; a row outside the packing range
-    fails the job instead of being ordered wrongly.
+    """The write order ``(l_orderkey, l_linenumber, l_quantity)`` as one number,
+    so "last write wins" is a ``max_by`` over a fixed-width key (hash
+    aggregation, not sort aggregation).
+
+    An order key has up to 63 bits and a sign, a line number 32, and of the
+    quantity only the rating made from it can matter: 31 bits (a rating below
+    zero is no rating).  Together they stay below 10^38, so every row has its
+    place.  A null counts as 0.
     """
-    ok, ln, q = (F.coalesce(F.col(c), F.lit(0)) for c in ("l_orderkey", "l_linenumber", "l_quantity"))
-    fits = (ln.between(0, 7) & q.between(0, 63) & (q == F.floor(q))
-            & ok.between(0, (1 << 54) - 1))
-    packed = (ok * 8 + ln) * 64 + q.cast("long")
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.lit("write order out of packing range")).cast("long"))
+    order, line = (F.coalesce(F.col(c), F.lit(0)).cast("decimal(20,0)") for c in ("l_orderkey", "l_linenumber"))
+    rating = F.greatest(F.coalesce(F.floor(F.col("l_quantity") / RATING_STEP), F.lit(0)), F.lit(0)).cast("decimal(20,0)")
+
+    def times(bits: int):
+        return F.lit(str(1 << bits)).cast("decimal(20,0)")
+
+    low = (line + times(31)) * times(31) + F.least(rating, times(31) - 1)
+    return (order * times(63) + low).cast("decimal(38,0)")
 
 
 def raw_ratings(spark: SparkSession, sf_dir: str, with_order: bool = False,

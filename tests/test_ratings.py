@@ -1,15 +1,14 @@
 from pyspark.sql import functions as F
 
 from tastemap.operators import ratings as R
+from tastemap.sources.tables import write_seq
 
 RAW = "user_key long, item_id long, rating int, l_orderkey long, l_linenumber int, l_quantity double"
 
 
 def raw_df(spark, rows):
-    """Rows with the composite write order, plus ``seq`` packed as the source does."""
-    df = spark.createDataFrame(rows, RAW)
-    return df.withColumn("seq", (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64
-                         + F.col("l_quantity").cast("long"))
+    """Rows with the composite write order, plus ``seq`` as the source makes it."""
+    return spark.createDataFrame(rows, RAW).withColumn("seq", write_seq())
 
 
 def test_zero_only_item_passes_popularity_but_not_training(spark):
@@ -47,14 +46,25 @@ def test_dedupe_on_composite_order_columns(spark):
     assert out == [(1, 9), (2, 7)]
 
 
-def test_write_seq_guards_packing_range(spark):
-    import pytest
-    from tastemap.sources.tables import write_seq
-    ok = spark.createDataFrame([(1, 7, 50.0)], "l_orderkey long, l_linenumber int, l_quantity double")
-    assert ok.select(write_seq()).first()[0] == (1 * 8 + 7) * 64 + 50
-    bad = spark.createDataFrame([(1, 9, 5.0)], "l_orderkey long, l_linenumber int, l_quantity double")
-    with pytest.raises(Exception, match="packing range"):
-        bad.select(write_seq()).collect()
+def test_write_seq_orders_every_row(spark):
+    big = 2 ** 63 - 1
+    rows = [(-big, 2 ** 31 - 1, 50.0), (-1, 0, 5.0), (0, -5, 5.0), (None, None, None), (0, 0, 5.0), (1, 7, 50.0),
+            (1, 9, 5.0), (1, 9, 64.5), (1, 9, 1e300), (1, 2 ** 31 - 1, 5.0), (2, -2 ** 31, 5.0), (big, 2 ** 31 - 1, 64.5)]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double")
+    seq = [r[0] for r in df.select(write_seq()).collect()]
+    assert seq == sorted(seq) and len(set(seq)) == len(rows)
+
+
+def test_last_write_wins_beyond_line_seven_and_whole_quantities(spark, tmp_root):
+    from tastemap.sources import tables
+    lines = [(1, 5, 9, 64.5), (1, 5, 7, 20.0), (1, 5, 9, 11.0), (2, 6, 100000, 0.5), (2, 6, 3, 33.3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(
+        f"{tmp_root}/lineitem.parquet")
+    spark.createDataFrame([(1, 10), (2, 10)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_root}/orders.parquet")
+    raw = tables.raw_ratings(spark, tmp_root, with_order=True, rated=True)
+    out = R.canonical_ratings(raw)
+    assert sorted((r.user_key, r.item_id, r.rating) for r in out.collect()) == [(10, 5, 12), (10, 6, 6)]
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_dataset_counts_one_pass(spark):
