@@ -371,6 +371,14 @@ SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS n_index,
          AS not_finite
 """
 
+def _daily_calls(more: str = "") -> str:
+    return f"""
+SELECT user_id AS client, event_type AS endpoint, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start,
+       count(*) AS calls{more}
+FROM events GROUP BY 1, 2, 3
+"""
+
+
 QUOTA_HOURLY_BY_ENDPOINT = """
 SELECT user_id AS client, event_type AS endpoint, date_trunc('hour', ts) AS window_start,
        date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS calls,
@@ -493,6 +501,9 @@ ORACLE = {
     "quota_daily": QUOTA_DAILY,
     "quota_daily_stream": QUOTA_DAILY,
     "quota_daily_stream_runs": QUOTA_DAILY,
+    "quota_late_stream": _daily_calls(),
+    "quota_alarm_stream": _daily_calls(", TRUE AS alarm_ok"),
+    "ratings_latest_stream": RATINGS_CANONICAL,
     "quota_hourly_by_endpoint": QUOTA_HOURLY_BY_ENDPOINT,
     "quota_hourly_routes": QUOTA_HOURLY_ROUTES,
     "dense_index_users": DENSE_INDEX_USERS,

@@ -24,6 +24,8 @@ from ..operators.broadcast import sized_broadcast
 from ..session import fresh_path, materialize
 from ..sources import json_pages as JP
 from ..sources import tables
+from ..streaming import alarm as AL
+from ..streaming import latest as PL
 from ..streaming import pages as PS
 from ..streaming import quota as QT
 from . import fixtures as X
@@ -350,6 +352,59 @@ def quota_daily_stream_runs(spark: SparkSession, sf: str) -> DataFrame:
     return QT.read_stream_result(spark, f"{base}/out", X.QUOTA_LIMIT)
 
 
+def _in_parts(log: DataFrame, path: str, run, parts: int = 4) -> None:
+    """Lands ``log`` in parts that have nothing to do with its order, ``run()`` after each."""
+    part = F.pmod(F.xxhash64(*log.columns), F.lit(parts))
+    for i in range(parts):
+        log.where(part == i).write.mode("append").parquet(path)
+        run().awaitTermination()
+
+
+def quota_late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 in Structured Streaming over a log that lands out of order: the calls that the
+    stream counted, those behind the watermark, and both together (the log's)."""
+    log = tables.request_log(spark, sf)
+    base = fresh_path(spark, "quota_late")
+    _in_parts(log, f"{base}/log", lambda: QT.run_stream(
+        spark, spark.readStream.schema(log.schema).parquet(f"{base}/log"), f"{base}/out", f"{base}/checkpoint",
+        X.QUOTA_WINDOW))
+    counted = spark.read.parquet(f"{base}/out").groupBy(*QT.KEYS).agg(F.max("calls").alias("calls"))
+    late = QT.uncounted(log, f"{base}/out", X.QUOTA_WINDOW).select(*QT.KEYS, F.col("late").alias("calls"))
+    return (counted.unionByName(late).groupBy("client", "endpoint", "window_start")
+            .agg(F.sum("calls").alias("calls")))
+
+
+def quota_alarm_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """T1 with an alarm at a window's first breach, over a log that lands out of order in
+    four parts, the stream started on its checkpoint after each: calls (counted and late),
+    and whether there is one alarm where the counted ones are above the quota, else none."""
+    log = tables.request_log(spark, sf)
+    base = fresh_path(spark, "quota_alarms")
+    _in_parts(log, f"{base}/log", lambda: AL.run_alarms(
+        spark, spark.readStream.schema(log.schema).parquet(f"{base}/log"), f"{base}/out", f"{base}/checkpoint",
+        X.QUOTA_WINDOW, X.QUOTA_LIMIT))
+    rows = AL.read_alarms(spark, f"{base}/out")
+    breached = F.col("counted") > F.col("quota")
+    return rows.select("client", "endpoint", "window_start", (F.col("counted") + F.col("late")).alias("calls"),
+                       ((F.col("alarms") == breached.cast("long"))
+                        & (F.col("breached_at").isNotNull() == breached)
+                        & F.coalesce(F.col("breached_at").between(F.col("window_start"), F.col("window_end")),
+                                     F.lit(True))).alias("alarm_ok"))
+
+
+def ratings_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 + S3 as a stream: every user's list lands as pages of 20 entries, out of order, in
+    three parts; keyed state keeps the last write of each pair, restarted after each part."""
+    raw = tables.raw_ratings(spark, sf, with_order=True)
+    pages = JP.read_pages(spark, JP.land_pages(raw, fresh_path(spark, "list_pages"), 20, spread_cols=("seq",)))
+    base = fresh_path(spark, "latest_stream")
+    part = F.pmod(F.xxhash64("user_key", "page"), F.lit(3))
+    for i in range(3):
+        pages.where(part == i).write.json(f"{base}/landed/{i}")
+        PL.run_latest(spark, f"{base}/landed", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return PL.read_latest(spark, f"{base}/out").withColumn("user_key", F.col("user_key").cast("long"))
+
+
 def dense_index_users(spark: SparkSession, sf: str) -> DataFrame:
     """A2: every rating user -> dense index in key order."""
     return R.dense_index(X.canonical(spark, sf), "user_key", "user")
@@ -570,6 +625,9 @@ QUERIES = {
     "quota_daily": quota_daily,
     "quota_daily_stream": quota_daily_stream,
     "quota_daily_stream_runs": quota_daily_stream_runs,
+    "quota_late_stream": quota_late_stream,
+    "quota_alarm_stream": quota_alarm_stream,
+    "ratings_latest_stream": ratings_latest_stream,
     "quota_hourly_by_endpoint": quota_hourly_by_endpoint,
     "quota_hourly_routes": quota_hourly_routes,
     "dense_index_users": dense_index_users,

@@ -35,14 +35,15 @@ def land_pages(ratings: DataFrame, path: str, page_entries: int = LIST_PAGE_ENTR
              .when(F.pmod(F.col("item_id"), F.lit(2)) == 0, F.lit(0)))
     entries = (placed.join(per_user, "user_key")
                .withColumn("page", F.floor(F.col("position") / page_entries).cast("int"))
-               .select("user_key", "page", "n_pages",
+               .select("user_key", "page", "n_pages", "position",
                        F.struct(F.struct(F.col("item_id").alias("id")).alias("node"),
                                 F.struct(score.cast("int").alias("score")).alias("list_status"))
                        .alias("entry")))
     nxt = F.when(F.col("page") + 1 < F.col("n_pages"),
                  F.format_string("list://%s?page=%d", F.col("user_key"), F.col("page") + 1))
     pages = (entries.groupBy("user_key", "page", "n_pages")
-             .agg(F.collect_list("entry").alias("data"))
+             .agg(F.transform(F.sort_array(F.collect_list(F.struct("position", "entry"))),
+                              lambda x: x["entry"]).alias("data"))
              .select("user_key", "page", "data", F.struct(nxt.alias("next")).alias("paging")))
     pages.write.mode("errorifexists").json(path)
     return path

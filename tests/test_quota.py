@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tastemap.streaming import alarm as AL
 from tastemap.streaming import quota as QT
 
 SCHEMA = "ts timestamp, client long, endpoint string"
@@ -76,3 +77,42 @@ def test_stream_restart_from_checkpoint_counts_once(spark, tmp_root):
                   for r in QT.over_quota(spark.createDataFrame(first + second, SCHEMA),
                                          "1 hour", 0).collect())
     assert got == want == [(1, "a", 5), (2, "b", 1)]
+
+
+def run_parts(spark, base, parts, quota=2, **kw):
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{base}/src/{i}")
+        source = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{base}/src")
+        AL.run_alarms(spark, source, f"{base}/out", f"{base}/ckpt", "1 hour", quota, **kw).awaitTermination()
+    return {(r.client, r.endpoint, r.window_start.hour): r for r in AL.read_alarms(spark, f"{base}/out").collect()}
+
+
+def test_alarm_at_the_first_breach_over_restarts(spark, tmp_root):
+    got = run_parts(spark, tmp_root, [
+        [(t(10, 30), 1, "a"), (t(10, 10), 1, "a"), (t(10, 0), 2, "a")],
+        [(t(10, 50), 1, "a"), (t(10, 40), 1, "a"), (t(10, 5), 2, "a")],
+        [(t(10, 55), 1, "a"), (t(10, 1), 3, "b")]])
+    one = got[1, "a", 10]
+    assert (one.counted, one.late, one.alarms, one.breached_at) == (5, 0, 1, t(10, 40))
+    assert [(got[k].counted, got[k].alarms, got[k].breached_at) for k in ((2, "a", 10), (3, "b", 10))] == [
+        (2, 0, None), (1, 0, None)]
+
+
+def test_late_calls_are_given_out_and_another_key_closes_nothing(spark, tmp_root):
+    got = run_parts(spark, tmp_root, [
+        [(t(0, 1), 1, "a"), (t(0, 1), 2, "a"), (t(9, 0), 1, "a")],
+        [(t(0, i), 1, "a") for i in range(2, 6)] + [(t(0, 2), 2, "a"), (t(0, 3), 2, "a"), (t(8, 30), 1, "a")]],
+        delay="30 minutes")
+    assert {k: (r.counted, r.late, r.alarms) for k, r in got.items()} == {
+        (1, "a", 0): (1, 4, 0), (1, "a", 9): (1, 0, 0), (1, "a", 8): (1, 0, 0), (2, "a", 0): (3, 0, 1)}
+
+
+def test_alarms_with_a_quota_table_and_text_clients(spark, tmp_root):
+    schema = "ts timestamp, client string, endpoint string"
+    rows = [(t(0, i), "x", "a") for i in range(3)] + [(t(0, i), "x", "b") for i in range(3)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_root}/src")
+    quotas = spark.createDataFrame([("a", 2), ("b", 5)], "endpoint string, quota long")
+    AL.run_alarms(spark, spark.readStream.schema(schema).parquet(f"{tmp_root}/src"), f"{tmp_root}/out",
+                  f"{tmp_root}/ckpt", "1 hour", quotas).awaitTermination()
+    got = {(r.client, r.endpoint): (r.counted, r.quota, r.alarms) for r in AL.read_alarms(spark, f"{tmp_root}/out").collect()}
+    assert got == {("x", "a"): (3, 2, 1), ("x", "b"): (3, 5, 0)}
