@@ -201,16 +201,9 @@ def candidate_groups(nodes: DataFrame, distance: int) -> DataFrame:
             .where(F.size("members") > 1))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS,
-                    distance: int = MAX_DISTANCE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
-
-    A null or empty text has fingerprint zero and links like any other.
-    Repeated rows each give a row.  A null doc_id stays null; component_id is
-    the smallest doc_id of the class that isn't null (null if there is none).
-    Other columns of ``docs`` are not read.
-    """
-    own = materialize(fingerprints(docs, shingle), "fingerprints")
+def classes(own: DataFrame, distance: int) -> DataFrame:
+    """``(fp, least, root)`` of the distinct fingerprints in ``own(doc_id, fp)``: the least
+    doc_id that has it, and one fingerprint for all that are linked."""
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
 
     def link(batches):
@@ -222,8 +215,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS,
                                              names=["a", "b"])
 
     roots = components(candidate_groups(nodes, distance).mapInArrow(link, "a long, b long"))
-    classed = materialize(nodes.join(roots, nodes.fp == roots.node, "left").select(
+    return materialize(nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")), "classed")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS,
+                    distance: int = MAX_DISTANCE) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, fingerprint, component_id``.
+
+    A null or empty text has fingerprint zero and links like any other.
+    Repeated rows each give a row.  A null doc_id stays null; component_id is
+    the smallest doc_id of the class that isn't null (null if there is none).
+    Other columns of ``docs`` are not read.
+    """
+    own = materialize(fingerprints(docs, shingle), "fingerprints")
+    classed = classes(own, distance)
     # Written, so that the join reads it as it is and a large class can be split.
     least = materialize(classed.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
     named = classed.join(least, "root").select("fp", "component_id")
@@ -233,20 +239,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS,
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE,
              key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, that with the smallest doc_id; all columns kept.
+    """``docs`` with one document of each class, all columns kept: that with the smallest
+    doc_id, of its texts in the class that with the smallest hash.
 
-    Of rows that share a doc_id the first in text order stays.  A row without
-    a doc_id stands behind all that have one, in an order by a hash of its text.
+    Rows that share a doc_id are documents of their own where their texts
+    differ; of equal rows (a null text equals an empty one) one stays.  A row
+    without a doc_id stands behind all that have one, in an order by a hash of
+    its text.  An empty table stays empty.
     """
     names = docs.columns
     name = "_identity"
     while name in {n.lower() for n in names}:
         name = "_" + name
-    spare = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
-    known = docs.withColumn(name, F.coalesce(F.col(f"`{key}`").cast("long"), spare + F.lit(1 << 62)))
-    classes = near_duplicates(known.select(F.col(name).alias("doc_id"), F.col(f"`{text}`").alias("text")),
-                              shingle, distance)
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    hashed = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    place = F.coalesce(F.col(f"`{key}`").cast("long"), hashed.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    known = docs.withColumn(name, F.struct(place.alias("place"), hashed.alias("hash")))
+    own = materialize(fingerprints(known.select(F.col(name).alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle),
+                      "fingerprints")
+    first = classes(own, distance).groupBy("root").agg(F.min("least").alias(name)).select(name)
     order = Window.partitionBy(name).orderBy(F.col(f"`{text}`").asc_nulls_last())
     rank = "_" + name
     return (known.join(first, name, "left_semi").withColumn(rank, F.row_number().over(order))

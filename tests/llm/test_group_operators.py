@@ -103,6 +103,15 @@ def test_simhash(docs, texts, odd, none):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0] * apart + [1, 3, 4, 6, 7, 9]
 
 
+def test_keep_one_loses_no_text_of_a_repeated_doc_id(spark, none):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, a + " more"), (1, a), (5, None), (5, ""), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(docs, distance=0).collect())
+    assert kept == sorted([(1, a), (1, b), (3, c), (4, a + " more"), (5, "")])
+    assert simhash.keep_one(none).count() == 0 and simhash.keep_one(none).columns == none.columns
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3])
 def test_gray_index_and_groups_find_all_links(spark, monkeypatch, distance):
     rng = np.random.default_rng(distance)
