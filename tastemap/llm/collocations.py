@@ -39,7 +39,7 @@ SCORE_SCALE = 1_000_000
 #: A shorter phrase goes if a longer one around it has this share of its count, in percent.
 COVERED = 50
 #: Words of a shard, bytes of text for each range, documents and places of the sample for the ranges.
-SHARD_WORDS, RANGE_BYTES, SAMPLE_DOCS, SAMPLE_PLACES = 1 << 20, 8_000_000, 4_000, 64
+SHARD_WORDS, RANGE_BYTES, SAMPLE_DOCS, SAMPLE_PLACES = 1 << 20, 4_000_000, 4_000, 64
 #: Paths of a range that are held before they are united.
 HELD_PATHS = 4_000_000
 
@@ -150,13 +150,12 @@ def _key(labels: list[np.ndarray]) -> np.ndarray:
 
 
 def _shards(batches):
-    """Yields (language, words, paths, one per word) of about ``SHARD_WORDS`` words."""
+    """Yields (language, words, paths, one per word) whenever ``SHARD_WORDS`` words of all languages are held."""
     held: dict[str, list] = {}
-    count: dict[str, int] = {}
+    count = 0
 
     def flush(lang):
         texts, one, two, start = zip(*held.pop(lang))
-        count.pop(lang)
         coded = pa.concat_arrays([pa.array([""], pa.large_string()), *texts]).dictionary_encode()
         code = np.asarray(coded.indices).astype(np.int64)[1:]
         after = np.append(code, [0, 0])
@@ -182,9 +181,11 @@ def _shards(batches):
                     # The two words behind a cut end its last paths; as starts they come in the next shard.
                     b, c = min(a + SHARD_WORDS, base[i + 1]), min(a + SHARD_WORDS + 2, base[i + 1])
                     held.setdefault(lang, []).append((words.slice(a, c - a), one[a:c], two[a:c], np.arange(a, c) < b))
-                    count[lang] = count.get(lang, 0) + c - a
-                    if count[lang] >= SHARD_WORDS:
-                        yield flush(lang)
+                    count += c - a
+                    if count >= SHARD_WORDS:
+                        for each in list(held):
+                            yield flush(each)
+                        count = 0
     for lang in list(held):
         yield flush(lang)
 
