@@ -33,9 +33,9 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: Terms that a map task sorts at once.
-MAP_TERMS = 2_000_000
+MAP_TERMS = 1_000_000
 #: Cells of a task's (term, source) matrix, and pairs of sources it gives.
-MATRIX_CELLS, TASK_PAIRS = 4_000_000, 2_000_000
+MATRIX_CELLS, TASK_PAIRS = 400_000, 2_000_000
 
 GAP = class_of((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 TERM = ["w0", "w1", "long_term"]
