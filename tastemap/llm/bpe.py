@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .words import buffers, spans
 
-#: Distinct words whose ids a task keeps; a fuller cache is started anew.
-CACHE_WORDS = 300_000
+#: Distinct words whose ids a task keeps, and their most characters; a fuller cache is started anew.
+CACHE_WORDS, CACHED_LENGTH = 300_000, 100
 
 
 def _characters() -> str:
@@ -127,9 +127,12 @@ class Codec:
             known.clear()
         new = list({w for parts in cut for w in parts if w and w not in known})
         known[""] = b""
-        if new:
-            known.update(zip(new, self.pre_tokens(new)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in cut]
+        long = {}
+        for word, ids in zip(new, self.pre_tokens(new) if new else ()):
+            (known if len(word) <= CACHED_LENGTH else long)[word] = ids
+        if not long:
+            return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4") for parts in cut]
+        return [np.frombuffer(b"".join([long[w] if w in long else known[w] for w in parts]), "<u4") for parts in cut]
 
     @staticmethod
     def _gather(ids, flat, places, lengths) -> bytes:

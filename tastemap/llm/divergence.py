@@ -19,7 +19,6 @@ A *term* is a run of ASCII letters and characters beyond ASCII, A-Z lower-cased.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -203,22 +202,27 @@ def distances(counts: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFra
                      F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"))
              .select("lang", "source", "total", "terms", "own", "bucket", block))
 
-    def sums(own: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-        sources = sources.drop_duplicates("source").reset_index(drop=True)
-        place = pd.Series(np.arange(len(sources)), sources["source"])
-        mine = np.flatnonzero(sources["own"] == sources["block"])
-        codes, found = pd.factorize(own["term"])
-        matrix = np.zeros((len(found), len(sources)), np.int64)
-        np.add.at(matrix, (codes, place[own["source"]].to_numpy()), own["n"].to_numpy())
+    def sums(own: pa.Table, sources: pa.Table) -> pa.Table:
+        own, sources = own.combine_chunks(), sources.combine_chunks()
+        name = np.array(sources["source"].to_pylist(), object)
+        first = {n: i for i, n in reversed(list(enumerate(name)))}
+        mine = np.flatnonzero(sources["own"].to_numpy() == sources["block"].to_numpy())
+        found, codes = np.unique(own["term"].to_numpy(), return_inverse=True)
+        matrix = np.zeros((len(found), len(name)), np.int64)
+        place = np.array([first[n] for n in own["source"].to_pylist()], np.int64)
+        np.add.at(matrix, (codes, place), own["n"].to_numpy())
         if len(found):
-            matrix = scaled(matrix, sources["total"].to_numpy(), int(sources["terms"].iloc[0]))
-        name, lang = sources["source"].to_numpy(), sources["lang"].iloc[0] if len(sources) else ""
-        out = [pd.DataFrame({"lang": lang, "source": name[i], "item": np.delete(name, i),
-                             "value": np.delete(np.abs(matrix - matrix[:, [i]]).sum(axis=0), i)}) for i in mine]
-        return pd.concat(out) if out else pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
+            matrix = scaled(matrix, sources["total"].to_numpy(), sources["terms"][0].as_py())
+        value = np.array([np.abs(matrix - matrix[:, [i]]).sum(axis=0) for i in mine], np.int64).reshape(len(mine), len(name))
+        other = np.arange(len(name)) != mine[:, None]
+        at, item = np.nonzero(other)
+        lang = sources["lang"][0].as_py() if len(name) else ""
+        return pa.table([pa.array([lang] * len(at), pa.string()), pa.array(name[mine[at]], pa.string()),
+                         pa.array(name[item], pa.string()), pa.array(value[other])],
+                        names=["lang", "source", "item", "value"])
 
     keys = ("lang", "bucket", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         sums, "lang string, source string, item string, value long")
     return found.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 

@@ -116,7 +116,9 @@ class Encoder:
     tiktoken, loaded with the file's own vocabulary, gives the same ids several
     times faster where the file's merges are in id order (checked) and the text
     stays below ``FAST_BELOW``, where both libraries agree on what a letter, a
-    digit and a blank are.  ``tokenizers`` itself encodes every other text.
+    digit and a blank are, and holds none of the file's special tokens.
+    ``tokenizers`` itself encodes every other text; a special token written out
+    in a text is that token, one id.
     """
 
     #: Lead bytes from here on are code points from U+0240 on.
@@ -125,10 +127,11 @@ class Encoder:
     def __init__(self, tokenizer_path: str, pattern: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
         self.fast = None
         with open(tokenizer_path, encoding="utf-8") as lines:
-            model = json.load(lines)["model"]
+            whole = json.load(lines)
+        model = whole["model"]
+        self.special = [t["content"] for t in whole.get("added_tokens") or []]
         merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         vocabulary = model["vocab"]
         if pattern and all(vocabulary.get(m) == 256 + i for i, m in enumerate(merges)):
@@ -140,7 +143,8 @@ class Encoder:
     def encode(self, text: np.ndarray) -> bytes:
         """Little-endian unsigned 32-bit ids of a text's UTF-8 bytes."""
         string = text.tobytes().decode()
-        if self.fast is not None and (not len(text) or text.max() < self.FAST_BELOW):
+        if (self.fast is not None and (not len(text) or text.max() < self.FAST_BELOW)
+                and not any(s in string for s in self.special)):
             return self.fast.encode_to_numpy(string, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -29,6 +29,8 @@ LABEL_SAMPLE = 20_000
 MARKER_RATIO = 20.0
 #: Marker words from which a toxic document has grade 2 and 3.
 GRADE_EDGES = (5, 12)
+#: A word has a weight from this standard score on, if at least so many toxic documents, or documents, hold it.
+LEAST_Z, LEAST_TOXIC, LEAST_OTHER = 4.0, 2, 5
 ROUNDS = 400
 RIDGE = 1e-4
 #: A document is toxic from this expected severity on.
@@ -102,20 +104,40 @@ def train(text: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.nd
     return params[:n_features], params[n_features] + np.concatenate(([0.0], np.cumsum(steps)))
 
 
+def told_apart(bad: np.ndarray, at: np.ndarray, bucket: np.ndarray, own: np.ndarray):
+    """Of each bucket: its share of the toxic documents and of the others among ``own``,
+    whether it speaks for toxic ones, and whether for either."""
+    n_bad, n_good = (bad & own).sum(), (~bad & own).sum()
+    in_bad = np.bincount(bucket[(bad & own)[at]], minlength=BUCKETS)
+    in_good = np.bincount(bucket[(~bad & own)[at]], minlength=BUCKETS)
+    p, q = (in_bad + 0.5) / (n_bad + 1), (in_good + 0.5) / (n_good + 1)
+    if not n_bad or not n_good:
+        return p, q, np.zeros(BUCKETS, bool), np.zeros(BUCKETS, bool)
+    pooled = (in_bad + in_good + 1) / (n_bad + n_good + 2)
+    z = (p - q) / np.sqrt(pooled * (1 - pooled) * (1 / n_bad + 1 / n_good))
+    toxic = (z > LEAST_Z) & (in_bad >= LEAST_TOXIC)
+    return p, q, toxic, toxic | ((z < -LEAST_Z) & (in_bad + in_good >= LEAST_OTHER))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = LABEL_SAMPLE, grade: str | None = None,
-        key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+        key: str = "doc_id", text: str = "text", toxic: str = "toxic", lang: str = "lang") -> Model:
     """Fits on the texts of the first ``sample`` labelled keys by a hash of the key.
 
     ``grade`` names a column of grades 0, 1, ...; without it grades are made
-    from ``toxic`` as above.  With no labels, or labels of one kind only, the
+    from ``toxic`` as above.  Words get a weight if they tell toxic documents
+    apart among all labelled documents or among those of one language (where
+    ``docs`` has the column ``lang``; null is one, too), so a language with few
+    labels isn't drowned by the others.  With no labels, or labels of one kind only, the
     model has no weights and every score is the share of that kind.
     """
     wanted = (labels.select(F.col(key).alias("_label_key"), F.col(grade or toxic).cast("int").alias("_grade"))
               .where("_label_key IS NOT NULL AND _grade IS NOT NULL")
               .groupBy("_label_key").agg(F.max("_grade").alias("_grade"))
               .orderBy(F.xxhash64("_label_key"), "_label_key").limit(sample))
-    texts = (docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"))
-             .join(F.broadcast(wanted), F.col("_key") == F.col("_label_key")).select("_grade", "text"))
+    language = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    texts = (docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("text"),
+                         F.coalesce(language, F.lit("")).alias("_lang"))
+             .join(F.broadcast(wanted), F.col("_key") == F.col("_label_key")).select("_grade", "text", "_lang"))
 
     def run(batches):
         for batch in batches:
@@ -124,10 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABEL_SAMPLE, grade: s
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n),
                      pa.ListArray.from_arrays(offsets, pa.array(bucket, pa.int32())),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.minimum(count, 255), pa.int32()))],
-                    names=["grade", "buckets", "counts"])
+                     pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())), batch.column(2).slice(first, n)],
+                    names=["grade", "buckets", "counts", "lang"])
 
-    rows = texts.mapInArrow(run, "grade int, buckets array<int>, counts array<int>").toArrow()
+    rows = texts.mapInArrow(run, "grade int, buckets array<int>, counts array<int>, lang string").toArrow()
     y = rows["grade"].to_numpy().astype(np.int64)
     lists = rows["buckets"].combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
@@ -138,16 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = LABEL_SAMPLE, grade: s
         sure = -20.0 if len(y) and y[0] > 0 else 20.0
         return Model(np.empty(0, np.int64), np.empty(0), np.array([sure]))
 
-    # Words whose share of documents differs between toxic and other documents.
-    bad = y > 0
-    in_bad = np.bincount(bucket[bad[at]], minlength=BUCKETS)
-    in_good = np.bincount(bucket[~bad[at]], minlength=BUCKETS)
-    p, q = (in_bad + 0.5) / (bad.sum() + 1), (in_good + 0.5) / ((~bad).sum() + 1)
-    pooled = (in_bad + in_good + 1) / (len(y) + 2)
-    z = (p - q) / np.sqrt(pooled * (1 - pooled) * (1 / bad.sum() + 1 / (~bad).sum()))
-    chosen = np.flatnonzero((np.abs(z) > 4) & (in_bad + in_good >= 5))
+    bad, language = y > 0, rows["lang"].to_numpy()
+    p, q, toxic_words, telling = told_apart(bad, at, bucket, np.ones(len(y), bool))
+    for name in np.unique(language):
+        _, _, more, others = told_apart(bad, at, bucket, language == name)
+        toxic_words, telling = toxic_words | more, telling | others
+    chosen = np.flatnonzero(telling)
     if grade is None:
-        marker = (p > MARKER_RATIO * q) & (z > 4) & (in_bad >= 5)
+        marker = toxic_words & (p > MARKER_RATIO * q)
         hits = np.bincount(at, count * marker[bucket], minlength=len(y))
         y = np.where(bad, 1 + np.searchsorted(GRADE_EDGES, hits, "right"), 0)
         y = np.unique(y, return_inverse=True)[1]

@@ -22,7 +22,7 @@ import uuid
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -191,16 +191,30 @@ def plan_records(pages: DataFrame, threshold: int = REVISIT_BYTES) -> DataFrame:
                        .agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
                        .where("n > 1").drop("n"), "warc_keepers")
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return (pages.join(kept, "digest", "left")
+    # Small payloads have no digest, one key for all of them: they pass the join by.
+    joined = (pages.where("digest IS NOT NULL").join(kept, "digest", "left")
+              .unionByName(pages.where("digest IS NULL"), allowMissingColumns=True))
+    return (joined
             .select("page_id", "url", "html", revisit.alias("revisit"),
                     F.when(revisit, F.col("keeper")).alias("refers_to")))
 
 
+def store_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` as pyarrow names it: qualified by Spark's default file system, S3 under its own scheme."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.toUri().getScheme() is None:
+        path = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path)
+    scheme, rest = path.toString().split(":", 1)
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest
+
+
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes ``plan_records`` rows as archives below ``folder`` (any URI pyarrow knows) and
-    returns ``(path, records)``; it is lazy, so run it once."""
+    """Writes ``plan_records`` rows as archives below ``folder`` and returns
+    ``(path, records)``; it is lazy, so run it once."""
+    uri = store_uri(records.sparkSession, folder)
+
     def run(batches):
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
 
         def flush(group):

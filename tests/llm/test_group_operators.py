@@ -2,15 +2,17 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tastemap.llm import common, quality, sharding, simhash, substring, toxicity
+from tastemap.llm.words import runs
 
 from .conftest import LONG, PASSAGE, SF, SF_LABELS, lower, words_of
 
@@ -304,6 +306,36 @@ def test_toxicity_held_out(spark):
                                               .withColumnRenamed("toxic", "label"), "doc_id").toPandas()
     assert got[got.label == 0].toxic.mean() < 0.005 and got[got.label == 1].toxic.mean() > 0.85
     assert got[got.label == 1].expected_severity.mean() > 20 * got[got.label == 0].expected_severity.mean()
+    caught = got[got.label == 1].join(docs.toPandas().set_index("doc_id").lang, "doc_id").groupby("lang").toxic.mean()
+    assert caught.min() >= 0.7   # the language with the fewest labels, too
+
+
+def test_severity_by_plain_python(docs, texts):
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(np.arange(0, toxicity.BUCKETS, 3), rng.normal(size=toxicity.BUCKETS // 3 + 1) / 20,
+                           np.array([0.1, 0.4, 1.0]))
+    mark = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
+
+    def bucket(word):
+        run = next(runs(pa.array([word])))
+        return int(run.hashes()[0] % np.uint64(toxicity.BUCKETS))
+    known = {}
+    for r in toxicity.severity(docs, model).collect():
+        words = [w for w in (w.strip(mark) for w in words_of(lower(texts[r["doc_id"]] or ""))) if w]
+        count = Counter(known.setdefault(w, bucket(w)) for w in words)
+        score = sum(float(model.weights[b // 3]) * np.log1p(n) for b, n in count.items() if b % 3 == 0)
+        below = [1 / (1 + np.exp(score - t)) for t in model.thresholds]
+        p = np.diff([0.0, *below, 1.0])
+        assert abs(r["expected_severity"] - p @ np.arange(4)) < 1e-9 and r["grade"] == p.argmax()
+
+
+def test_a_word_counts_alike_in_fitting_and_scoring(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda at, f, value, *a, **kw: seen.append(value) or (np.zeros(a[1]), np.array([0.0])))
+    rows = [(i, "bad " * 1000 if i % 2 else "good one", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    toxicity.fit(df, df.select("doc_id", "grade"), grade="grade")
+    assert seen[0].max() == np.log1p(1000)
 
 
 def test_toxicity_grades_and_odd_rows(spark, odd, none):

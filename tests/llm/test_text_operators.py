@@ -38,6 +38,15 @@ def test_codec_is_tiktoken(text):
     assert CODEC.decimals(ids).decode() == " ".join(map(str, ids.tolist()))
 
 
+def test_codec_keeps_no_long_text():
+    codec = bpe.Codec(TOKENS, P.PATTERN)
+    texts = ["word " * 2000, "x" * 5000 + " y", "a  b" * 500, "short one"]
+    for _ in range(2):
+        for text, ids in zip(texts, codec.encode(texts)):
+            assert ids.tolist() == OTHER.encode_ordinary(text)
+    assert max(map(len, codec.cache)) <= bpe.CACHED_LENGTH
+
+
 def test_bpe_rows(docs, texts, odd, none):
     got = bpe.encode_and_decode(docs, RANKS, P.PATTERN).toPandas()
     assert len(got) == len(texts)
@@ -80,6 +89,11 @@ def test_packing(docs, texts, odd, none):
     rows = packing.pack_documents(docs, JSON, P.PATTERN).toPandas()
     check_packed(rows, texts)
     assert rows.sequence_id.nunique() <= 1.02 * rows.length.sum() / 1024 + 1
+    own = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "<|endoftext |> \u4e2d<|endoftext|>"}
+    special = packing.pack_documents(docs.sparkSession.createDataFrame(list(own.items()), "doc_id long, text string"),
+                                     JSON, P.PATTERN).toPandas()
+    check_packed(special, own)
+    assert special[special.doc_id == 2].length.item() == 2
     slow = packing.pack_documents(docs.limit(20), JSON).toPandas()   # tokenizers for every text
     check_packed(slow, {d: texts[d] for d in slow.doc_id.unique()})
     rows = packing.pack_documents(odd, JSON, P.PATTERN).toPandas()
