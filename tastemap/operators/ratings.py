@@ -126,6 +126,21 @@ def dense_index(keys: DataFrame, key: str, index: str, partitions: int | None =
             .select(key, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("int").alias(index)))
 
 
+def extend_index(index: DataFrame, keys: DataFrame, key: str, number: str) -> DataFrame:
+    """A2 for a later snapshot: ``index(key, number)`` with the keys it lacks numbered
+    behind its largest, in key order; the numbers it has stay, those of keys that
+    are gone, too, so factors stored under them keep their meaning.
+
+    ``index`` should be a written table.
+    """
+    known = index.select(key)
+    fresh = dense_index(keys.select(key).join(known, key, "left_anti"), key, number)
+    first = index.agg(F.coalesce(F.max(number) + 1, F.lit(0))).first()[0]
+    kind = index.schema[number].dataType
+    return index.select(key, number).unionByName(
+        fresh.withColumn(number, (F.col(number) + F.lit(first)).cast(kind)))
+
+
 def training_triples(ratings: DataFrame, user_index: DataFrame, item_index: DataFrame) -> DataFrame:
     """D3 via J2/J3 and P3: ``(user int, item int, rating float)``.
 

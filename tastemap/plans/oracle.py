@@ -312,6 +312,20 @@ SELECT user_key, CAST(row_number() OVER (ORDER BY user_key) - 1 AS INTEGER) AS u
 FROM (SELECT DISTINCT user_key FROM canon)
 """
 
+DENSE_INDEX_EXTENDED = "WITH " + CANON + """,
+old AS (SELECT user_key, row_number() OVER (ORDER BY user_key) - 1 AS user
+        FROM (SELECT DISTINCT user_key FROM canon WHERE item_id % 2 = 1))
+SELECT user_key, CAST(user AS INTEGER) AS user FROM old
+UNION ALL
+SELECT user_key, CAST((SELECT count(*) FROM old) + row_number() OVER (ORDER BY user_key) - 1 AS INTEGER)
+FROM (SELECT DISTINCT user_key FROM canon WHERE user_key NOT IN (SELECT user_key FROM old))
+"""
+
+ITEM_STATS_MERGED = "WITH " + CANON + f"""
+SELECT item_id, {r6('avg(rating)')} AS average_rating, count(*) AS num_ratings, TRUE AS users_ok
+FROM canon GROUP BY item_id
+"""
+
 TRAINING_TRIPLES_ROUNDTRIP = TRAIN + """,
 ui AS (SELECT user_key, row_number() OVER (ORDER BY user_key) - 1 AS user
        FROM (SELECT DISTINCT user_key FROM train)),
@@ -507,6 +521,9 @@ ORACLE = {
     "quota_hourly_by_endpoint": QUOTA_HOURLY_BY_ENDPOINT,
     "quota_hourly_routes": QUOTA_HOURLY_ROUTES,
     "dense_index_users": DENSE_INDEX_USERS,
+    "dense_index_extended": DENSE_INDEX_EXTENDED,
+    "item_stats_merged": ITEM_STATS_MERGED,
+    "foldin_refreshed": FOLDIN_RANK64.replace("TRUE AS ok", "TRUE AS ok, TRUE AS same"),
     "training_triples_roundtrip": TRAINING_TRIPLES_ROUNDTRIP,
     "als_stationary": ALS_STATIONARY,
     "als_model_checks": ALS_MODEL_CHECKS,

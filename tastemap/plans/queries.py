@@ -13,8 +13,10 @@ from ..fixed import RECOMMEND_N_API, SEARCH_MIN_CHARS_CLIENT, SIMILAR_N_API
 from ..functions import vectors as V
 from ..functions.numeric import result_round
 from ..operators import foldin as FI
+from ..operators import partials as PT
 from ..operators import ratings as R
 from ..operators import recommend as RC
+from ..operators import refresh as RF
 from ..operators import report as RP
 from ..operators import requests as RQ
 from ..operators import search as SE
@@ -164,6 +166,24 @@ def recommend_placeholders(spark: SparkSession, sf: str) -> DataFrame:
         "user_key", "rank", "item_id", "title", result_round("average_rating").alias("average_rating"), "num_ratings")
 
 
+def foldin_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """S9 + Q17: all users are folded in once while every 64th still lacks the ratings of
+    even items, and refreshed when they are there: the users of changed buckets anew, the
+    others as stored.  Their number of ratings, whether they solve their normal equations,
+    and whether they are those of a full run."""
+    canon = X.canonical_written(spark, sf)
+    items = materialize(X.foldin_item_factors(spark, sf, X.FULL_RANK), "refresh_items")
+    root = fresh_path(spark, "refresh")
+    late = (F.col("user_key") % 64 == 5) & (F.col("item_id") % 2 == 0)
+    RF.refresh(canon.where(~late), items, X.REGULARIZATION, X.FULL_RANK, root)
+    run = RF.refresh(canon, items, X.REGULARIZATION, X.FULL_RANK, root)
+    users = materialize(RF.folded_users(spark, root, run).select("user_key", "n", F.col("features").alias("u")), "refreshed")
+    full = FI.foldin(canon, items, X.REGULARIZATION, X.FULL_RANK).select("user_key", F.col("features").alias("v"))
+    far = F.array_max(F.zip_with("u", "v", lambda a, b: F.abs(a - b)))
+    same = users.join(full, "user_key", "full").select("user_key", (F.coalesce(far, F.lit(1.0)) <= 1e-9).alias("same"))
+    return _solved(canon, items, users, X.REGULARIZATION).join(same, "user_key", "full")
+
+
 def _search_out(res: DataFrame) -> DataFrame:
     return res.select(F.col("qid").alias("q"), "rank", "item_id", "title",
                       result_round("average_rating").alias("average_rating"), "num_ratings", "tier")
@@ -410,6 +430,25 @@ def dense_index_users(spark: SparkSession, sf: str) -> DataFrame:
     return R.dense_index(X.canonical(spark, sf), "user_key", "user")
 
 
+def dense_index_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 over two snapshots: users of the odd items are numbered first, all others behind them."""
+    canon = X.canonical_written(spark, sf)
+    first = materialize(R.dense_index(canon.where(F.col("item_id") % 2 == 1), "user_key", "user"), "user_index")
+    return R.extend_index(first, canon, "user_key", "user")
+
+
+def item_stats_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 + A3 + A6 from a partial table for each of four batches of users, merged on read;
+    whether the sketch of an item's users is within its error."""
+    canon = X.canonical_written(spark, sf)
+    folder = fresh_path(spark, "item_partials")
+    for i in range(4):
+        PT.append_batch(canon.where(F.col("user_key") % 4 == i), folder, str(i))
+    return PT.merged_stats(spark, folder).select(
+        "item_id", result_round("average_rating").alias("average_rating"), "num_ratings",
+        (F.abs(F.col("distinct_users") - F.col("num_ratings")) <= 1 + 0.08 * F.col("num_ratings")).alias("users_ok"))
+
+
 def _trained(spark: SparkSession, sf: str) -> Snapshot:
     """A model of the given tables, trained here and now."""
     root = fresh_path(spark, "models")
@@ -631,6 +670,9 @@ QUERIES = {
     "quota_hourly_by_endpoint": quota_hourly_by_endpoint,
     "quota_hourly_routes": quota_hourly_routes,
     "dense_index_users": dense_index_users,
+    "dense_index_extended": dense_index_extended,
+    "item_stats_merged": item_stats_merged,
+    "foldin_refreshed": foldin_refreshed,
     "training_triples_roundtrip": training_triples_roundtrip,
     "als_stationary": als_stationary,
     "als_model_checks": als_model_checks,
