@@ -140,6 +140,34 @@ FROM ranked r JOIN catalogue c ON c.item_id = r.item_id
 WHERE r.rank <= 10
 """
 
+RECOMMEND_LEAVE_LAST_OUT = "WITH " + FOLDIN_K2.replace("""
+  FROM raw WHERE rating > 0 GROUP BY user_key, item_id)""", """,
+         max((l_orderkey, l_linenumber, rating)) AS seq
+  FROM raw WHERE rating > 0 GROUP BY user_key, item_id),
+held AS (SELECT user_key, max_by(item_id, (seq, item_id)) AS item_id FROM canon0 GROUP BY user_key),
+canon AS (SELECT c.user_key, c.item_id, c.rating FROM canon0 c
+          WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.user_key = c.user_key AND h.item_id = c.item_id))""").replace(
+    "canon AS (\n  SELECT user_key", "canon0 AS (\n  SELECT user_key", 1) + """,
+scores AS (
+  SELECT u.user_key, i.item_id, u.u0 * i.x0 + u.u1 * i.x1 AS predicted_score
+  FROM sol u CROSS JOIN items i
+  WHERE NOT EXISTS (SELECT 1 FROM canon c WHERE c.user_key = u.user_key AND c.item_id = i.item_id)),
+top AS (
+  SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY predicted_score DESC, item_id) AS rank FROM scores
+  QUALIFY rank <= 10),
+each AS (
+  SELECT t.user_key, min(CASE WHEN t.item_id = h.item_id THEN rank END) AS rank
+  FROM top t JOIN held h ON h.user_key = t.user_key GROUP BY t.user_key),
+means AS (
+  SELECT count(*) AS users, count(rank) AS hits, avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1 END) AS hit_rate,
+         avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / rank END) AS mrr,
+         avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / log2(rank + 1) END) AS ndcg
+  FROM each)
+""" + f"""
+SELECT users, hits, {r6('hit_rate')} AS hit_rate, {r6('hit_rate / 10')} AS precision, {r6('mrr')} AS mrr,
+       {r6('ndcg')} AS ndcg FROM means
+"""
+
 def _search(terms: str, least: int = 1) -> str:
     return "WITH " + CATALOGUE + f""",
 terms AS ({terms}),
@@ -501,6 +529,8 @@ ORACLE = {
     "search_top10": SEARCH_TOP10,
     "search_title_words": SEARCH_TITLE_WORDS,
     "search_as_typed": SEARCH_AS_TYPED,
+    "search_typed_prefixes": SEARCH_AS_TYPED,
+    "recommend_leave_last_out": RECOMMEND_LEAVE_LAST_OUT,
     "similar_request_status": SIMILAR_REQUEST_STATUS,
     "recommend_request_status": RECOMMEND_REQUEST_STATUS,
     "request_rejects": REQUEST_REJECTS,

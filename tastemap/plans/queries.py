@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..fixed import RECOMMEND_N_API, SEARCH_MIN_CHARS_CLIENT, SIMILAR_N_API
 from ..functions import vectors as V
 from ..functions.numeric import result_round
+from ..operators import evaluate as EV
 from ..operators import foldin as FI
 from ..operators import partials as PT
 from ..operators import ratings as R
@@ -22,6 +23,7 @@ from ..operators import requests as RQ
 from ..operators import search as SE
 from ..operators import similar as S
 from ..operators import train as TR
+from ..operators import typeahead as TA
 from ..operators.broadcast import sized_broadcast
 from ..session import fresh_path, materialize
 from ..sources import json_pages as JP
@@ -208,14 +210,35 @@ def search_title_words(spark: SparkSession, sf: str) -> DataFrame:
     return _search_out(SE.search(terms, X.catalogue(spark, sf), n=10))
 
 
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    words = (tables.titles(spark, sf).select(F.explode(F.split("title", " ")).alias("w"))
+             .where(F.length("w") > 0).distinct())
+    return (words.select(F.explode(F.array(*[F.substring("w", 1, i) for i in (1, 2, 3)])).alias("q"))
+            .distinct().select(F.col("q").alias("qid"), "q"))
+
+
 def search_as_typed(spark: SparkSession, sf: str) -> DataFrame:
     """M7 while a title word is typed: its first one, two and three letters, of
     which a client sends those of at least two characters."""
-    words = (tables.titles(spark, sf).select(F.explode(F.split("title", " ")).alias("w"))
-             .where(F.length("w") > 0).distinct())
-    typed = (words.select(F.explode(F.array(*[F.substring("w", 1, i) for i in (1, 2, 3)])).alias("q"))
-             .distinct().select(F.col("q").alias("qid"), "q"))
-    return _search_out(SE.search(typed, X.catalogue(spark, sf), n=10, min_len=SEARCH_MIN_CHARS_CLIENT))
+    return _search_out(SE.search(_typed(spark, sf), X.catalogue(spark, sf), n=10, min_len=SEARCH_MIN_CHARS_CLIENT))
+
+
+def search_typed_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """``search_as_typed`` through a stored prefix table; the gram search takes what it can't answer."""
+    listed = materialize(X.catalogue(spark, sf), "catalogue")
+    prefixes = materialize(TA.prefix_table(listed, 10), "prefix_table")
+    return _search_out(TA.search_typed(_typed(spark, sf), listed, prefixes, 10, SEARCH_MIN_CHARS_CLIENT))
+
+
+def recommend_leave_last_out(spark: SparkSession, sf: str) -> DataFrame:
+    """M9: every user's last rated item is left out, the rest folded in (closed form), and the
+    top 10 are looked through for it: hit rate, precision, MRR and NDCG."""
+    train, held = EV.leave_last_out(tables.raw_ratings(spark, sf, with_order=True, rated=True))
+    train, held = materialize(train, "evaluation_ratings"), materialize(held, "evaluation_held_out")
+    items = X.foldin_item_factors(spark, sf)
+    recs = materialize(RC.recommend(FI.foldin(train, items, X.REGULARIZATION, X.FOLDIN_RANK), items, 10), "evaluation_top")
+    return EV.ranking_metrics(recs, held, 10).select(
+        "users", "hits", *[result_round(c).alias(c) for c in ("hit_rate", "precision", "mrr", "ndcg")])
 
 
 def similar_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -650,6 +673,8 @@ QUERIES = {
     "search_top10": search_top10,
     "search_title_words": search_title_words,
     "search_as_typed": search_as_typed,
+    "search_typed_prefixes": search_typed_prefixes,
+    "recommend_leave_last_out": recommend_leave_last_out,
     "similar_request_status": similar_request_status,
     "recommend_request_status": recommend_request_status,
     "request_rejects": request_rejects,
