@@ -249,15 +249,17 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, distance: int = MAX_
     """
     names = docs.columns
     name = "_identity"
-    while name in {n.lower() for n in names}:
+    while any(n.lower().startswith(name) for n in names):
         name = "_" + name
-    hashed = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    place = F.coalesce(F.col(f"`{key}`").cast("long"), hashed.bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
-    known = docs.withColumn(name, F.struct(place.alias("place"), hashed.alias("hash")))
-    own = materialize(fingerprints(known.select(F.col(name).alias("doc_id"), F.col(f"`{text}`").alias("text")), shingle),
-                      "fingerprints")
-    first = classes(own, distance).groupBy("root").agg(F.min("least").alias(name)).select(name)
-    order = Window.partitionBy(name).orderBy(F.col(f"`{text}`").asc_nulls_last())
-    rank = "_" + name
-    return (known.join(first, name, "left_semi").withColumn(rank, F.row_number().over(order))
+    place, hashed, rank = f"{name}_place", f"{name}_hash", f"{name}_rank"
+    known = docs.withColumn(hashed, F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    known = known.withColumn(place, F.coalesce(F.col(f"`{key}`").cast("long"),
+                                               F.col(hashed).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)))
+    identity = F.struct(F.col(place).alias("place"), F.col(hashed).alias("hash")).alias("doc_id")
+    own = materialize(fingerprints(known.select(identity, F.col(f"`{text}`").alias("text")), shingle), "fingerprints")
+    first = classes(own, distance).groupBy("root").agg(F.min("least").alias("least")).select(
+        F.col("least.place").alias(place), F.col("least.hash").alias(hashed))
+    # The join and the window share one deal of the texts.
+    order = Window.partitionBy(place, hashed).orderBy(F.col(f"`{text}`").asc_nulls_last())
+    return (known.join(first, [place, hashed], "left_semi").withColumn(rank, F.row_number().over(order))
             .where(F.col(rank) == 1).select(*[F.col(f"`{n}`") for n in names]))
