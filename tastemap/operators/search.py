@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from ..fixed import SEARCH_MIN_CHARS, SEARCH_N
 from ..functions import text as TX
+from ..session import materialize
+from .broadcast import shuffled, sized_broadcast
 
 GRAM = 2
+QUERY_ROW_BYTES = 192  # a query's id, its text and a gram
 
 
 def clean_queries(queries: DataFrame, min_len: int = SEARCH_MIN_CHARS) -> DataFrame:
@@ -45,7 +48,9 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     The rarest gram of each query is found from the gram frequencies (a
     grouped count with map-side partial counts); hot grams in the join are
-    split by AQE's skew handling.
+    split by AQE's skew handling, and none of the sides is broadcast by the size
+    of the catalogue's file: a title has many grams.  The queries with their
+    gram are written, and broadcast within a measured bound.
     """
     tg = title_grams(catalogue)
     freq = tg.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
@@ -57,13 +62,14 @@ def candidates(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     # per query, the (frequency, gram) pairs of its own grams (bounded by the
     # query's length); their minimum is the rarest gram, ties by gram text
     pairs = F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "gram"))
-    best = (qg.join(freq, "gram", "left")
+    best = (qg.join(shuffled(freq), "gram", "left")
             .groupBy("qid", "ql")
             .agg(F.array_min(pairs)["gram"].alias("gram")))
+    best = materialize(best, "search_grams")
     titles = catalogue.select("item_id", "title", "average_rating", "num_ratings",
                               TX.fold("title").alias("tl"))
-    return (best.join(tg, "gram")
-            .join(titles, "item_id")
+    return (tg.join(sized_broadcast(best, QUERY_ROW_BYTES), "gram")
+            .join(shuffled(titles), "item_id")
             .where(F.col("tl").contains(F.col("ql")))
             .select("qid", "item_id", "title", "average_rating", "num_ratings", "tl", "ql"))
 

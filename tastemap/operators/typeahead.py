@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..fixed import SEARCH_MIN_CHARS, SEARCH_N
 from ..functions import text as TX
 from ..session import materialize
+from .broadcast import shuffled
 from .search import clean_queries, search
 
 MAX_PREFIX = 3
@@ -59,7 +60,7 @@ def search_typed(queries: DataFrame, catalogue: DataFrame, prefixes: DataFrame,
     """The rows of ``search`` for ``queries(qid, q)``; ``prefixes`` is a (stored) ``prefix_table`` of
     ``catalogue`` with at least ``n`` titles a prefix."""
     asked = clean_queries(queries, min_len)
-    found = asked.join(prefixes.where(F.col("rank") <= n), asked.ql == prefixes.prefix)
+    found = asked.join(shuffled(prefixes.where(F.col("rank") <= n)), asked.ql == F.col("prefix"))
     full = materialize(found.groupBy("qid").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= n).select("qid"),
                        "typed_answered")
     answered = (found.join(full, "qid", "left_semi")
