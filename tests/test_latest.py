@@ -35,3 +35,14 @@ def test_expired_state_costs_output_only(spark, tmp_root):
         PL.run_latest(spark, f"{tmp_root}/in", f"{tmp_root}/out", f"{tmp_root}/ckpt", expire="1 ms").awaitTermination()
     assert ("u", 5, 4) in answer(spark, tmp_root)
     assert spark.read.parquet(f"{tmp_root}/out").where("user_key = 'u'").count() == 2
+
+
+def test_state_is_an_aggregate_outside_the_heap(spark, tmp_root):
+    land(spark, f"{tmp_root}/in/0", [("u", 0, [(5, 1)])])
+    key, before = PL._STORE, spark.conf.get(PL._STORE, None)
+    q = PL.run_latest(spark, f"{tmp_root}/in", f"{tmp_root}/out", f"{tmp_root}/ckpt")
+    q.awaitTermination()
+    state = [o for p in q.recentProgress for o in p["stateOperators"]]
+    assert {o["operatorName"] for o in state} == {"stateStoreSave"} and state[-1]["numRowsTotal"] == 1
+    assert any(k.startswith("rocksdb") for k in state[0]["customMetrics"])
+    assert spark.conf.get(key, None) == before
