@@ -44,3 +44,16 @@ def test_title_grams_are_not_broadcast(spark, no_limit):
     out = SE.search(queries, cat, 5)
     assert "Broadcast" not in plan(out)
     assert sorted((r.qid, r.item_id, r.tier) for r in out.collect()) == [("a", 1, 1), ("b", 2, 3)]
+
+
+def test_orders_are_not_broadcast_by_the_size_of_their_file(spark, tmp_root):
+    from tastemap.sources import tables
+    spark.createDataFrame([(i, i % 7) for i in range(50)], "o_orderkey long, o_custkey long").write.parquet(
+        f"{tmp_root}/orders.parquet")
+    spark.createDataFrame([(i // 2, i % 11, i % 2, float(i)) for i in range(100)],
+                          "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(
+        f"{tmp_root}/lineitem.parquet")
+    df = tables.raw_ratings(spark, tmp_root, with_order=True)
+    assert "Broadcast" not in plan(df)
+    assert sorted((r.user_key, r.item_id, r.rating) for r in df.collect()) == sorted(
+        ((i // 2) % 7, i % 11, i // 5) for i in range(100))
