@@ -1,14 +1,19 @@
 """First breach alarms of the quota (T1) as a stream, and the calls that come too late for it.
 
-State is keyed by client and endpoint: the number of calls of each window that
-is not closed.  The call that takes a window's number above its
-quota raises one alarm, with that call's time, in the micro-batch that brings
-it.  A key has a clock of its own, its latest call of earlier micro-batches: a
-window is closed when it ended ``delay`` before that.  A call of a closed
-window is not dropped but given out as late, so the calls of a window are those
-counted and those late, whatever the order of arrival, and a slow client isn't
-closed by a fast one.  The state of a key that stays silent goes with a timer
-on the time of arrival, which is the stream's watermark and makes no row late.
+State is keyed by client and endpoint: the key's latest call, and the number of
+calls of each window that is not closed.  The call that takes a window's number
+above its quota raises one alarm, with that call's time, in the micro-batch that
+brings it.  A key has a clock of its own, its latest call of earlier
+micro-batches: a window is closed when it ended ``delay`` before that.  A call of
+a closed window is not dropped but given out as late, so the calls of a window
+are those counted and those late, whatever the order of arrival, and a slow
+client isn't closed by a fast one.  The state of a key that stays silent goes by
+the time of arrival.
+
+The state is two tables below the checkpoint, which a micro-batch reads, joins
+and writes anew: joins and grouped aggregates over all keys, no call per key.
+They are written in turn to two folders, so a replayed batch finds what the
+batch before it left.
 
 Each micro-batch writes its rows to its own ``batch_id=`` folder (overwrite: a
 replayed batch rewrites the same folder).  Kinds of rows: ``count`` (calls of
@@ -18,52 +23,54 @@ the window so far), ``alarm`` (the first call above the quota) and ``late``;
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.broadcast import shuffled
+from ..session import materialize
 from .quota import KEYS, _with_quota
 
-_OUT = ("client {client}, endpoint string, window_start timestamp, window_end timestamp, kind string, "
-        "calls long, quota long, at timestamp")
-_STATE = "ends array<long>, calls array<long>, latest long"
-
-
-def _milliseconds(times: pd.Series) -> np.ndarray:
-    return (times.astype("int64") // {"ns": 10 ** 6, "us": 10 ** 3, "ms": 1}[times.dt.unit]).to_numpy()
-
-
-def _alarms(delay_ms: int, silent_ms: int):
-    def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ends, counts, latest = state.get if state.exists else ([], [], None)
-        calls, rows = dict(zip(ends, counts)), []
-        fresh = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        fresh["end_ms"] = _milliseconds(fresh["window_end"])
-        for end, own in fresh.groupby("end_ms", sort=True):
-            first = own.iloc[0]
-            window = (*key, first["window_start"], first["window_end"])
-            quota, n = int(first["quota"]), len(own)
-            if latest is not None and end <= latest - delay_ms:
-                rows.append((*window, "late", n, quota, own["ts"].iloc[-1]))
-                continue
-            before = calls.get(end, 0)
-            calls[end] = before + n
-            rows.append((*window, "count", before + n, quota, own["ts"].iloc[-1]))
-            if before <= quota < before + n:
-                rows.append((*window, "alarm", quota + 1, quota, own["ts"].iloc[quota - before]))
-        newest = int(_milliseconds(fresh["ts"])[-1])
-        latest = newest if latest is None else max(latest, newest)
-        calls = {e: n for e, n in calls.items() if e > latest - delay_ms}
-        state.update((list(calls), list(calls.values()), latest))
-        state.setTimeoutTimestamp(int(_milliseconds(fresh["arrived"]).max()) + silent_ms)
-        yield pd.DataFrame(rows, columns=[*KEYS, "kind", "calls", "quota", "at"])
-
-    return update
+KEY = ["client", "endpoint"]
+
+
+def _same(left: DataFrame, right: DataFrame, columns: list[str], carry: list[str]) -> DataFrame:
+    """``left`` with the columns ``carry`` of ``right``, of one row per key; nulls are equal."""
+    named = right.select(*[F.col(c).alias(f"_{c}") for c in columns], *carry)
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
+    return left.join(shuffled(named), on, "left").drop(*[f"_{c}" for c in columns])
+
+
+def _closed(delay_us: int):
+    return F.unix_micros("window_end") <= F.unix_micros("latest") - delay_us
+
+
+def _windows(calls: DataFrame, keys: DataFrame, opened: DataFrame, delay_us: int) -> DataFrame:
+    """A row for each window of a micro-batch's calls: how many, before and now, whether they are late,
+    the time of the last and of the first above the quota."""
+    window = ["client", "endpoint", "window_end"]
+    placed = _same(calls, keys, KEY, ["latest"])
+    placed = _same(placed, opened.select(*window, F.col("calls").alias("before")), window, ["before"])
+    nth = F.row_number().over(Window.partitionBy(*window).orderBy("ts"))
+    late, before = F.coalesce(_closed(delay_us), F.lit(False)), F.coalesce("before", F.lit(0).cast("long"))
+    placed = placed.select(*KEYS, "ts", "quota", "arrived", late.alias("is_late"), before.alias("before"), nth.alias("nth"))
+    return placed.groupBy(*KEYS, "is_late", "before", "quota").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("at"), F.max("arrived").alias("arrived"),
+        F.max(F.when(F.col("nth") == F.col("quota") - F.col("before") + 1, F.col("ts"))).alias("breach"))
+
+
+def _rows(windows: DataFrame) -> DataFrame:
+    """The rows of kind ``count`` or ``late``, and ``alarm``."""
+    def row(kind, calls, at):
+        return F.struct(kind.alias("kind"), calls.cast("long").alias("calls"), at.alias("at"))
+
+    now = F.col("before") + F.col("n")
+    seen = F.when(F.col("is_late"), row(F.lit("late"), F.col("n"), F.col("at"))).otherwise(
+        row(F.lit("count"), now, F.col("at")))
+    breach = ~F.col("is_late") & (F.col("before") <= F.col("quota")) & (now > F.col("quota"))
+    alarm = F.when(breach, row(F.lit("alarm"), F.col("quota") + 1, F.col("breach")))
+    return (windows.select(*KEYS, "quota", F.explode(F.array_compact(F.array(seen, alarm))).alias("r"))
+            .select(*KEYS, "r.kind", "r.calls", "quota", "r.at"))
 
 
 def run_alarms(spark: SparkSession, source: DataFrame, out_path: str, checkpoint: str, window: str, quota,
@@ -75,20 +82,41 @@ def run_alarms(spark: SparkSession, source: DataFrame, out_path: str, checkpoint
     ``silent`` should be far above the window and the delay.
     """
     width = F.window("ts", window)
-    placed = (source.select("ts", "client", "endpoint", width.alias("w"), F.current_timestamp().alias("arrived"))
-              .select("ts", "client", "endpoint", F.col("w.start").alias("window_start"),
-                      F.col("w.end").alias("window_end"), "arrived")
-              .withWatermark("arrived", "0 seconds"))
-    schema = _OUT.format(client=source.schema["client"].dataType.simpleString())
-    delay_ms, silent_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (delay, silent))
-    rows = (_with_quota(placed, quota).groupBy("client", "endpoint")
-            .applyInPandasWithState(_alarms(delay_ms, silent_ms), schema, _STATE, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
+    placed = _with_quota(
+        source.select("ts", "client", "endpoint", width.alias("w"), F.current_timestamp().alias("arrived"))
+        .select("ts", "client", "endpoint", F.col("w.start").alias("window_start"),
+                F.col("w.end").alias("window_end"), "arrived"), quota)
+    client, endpoint = (placed.schema[c].dataType.simpleString() for c in KEY)
+    keys_type = f"client {client}, endpoint {endpoint}, latest timestamp, arrived timestamp"
+    open_type = f"client {client}, endpoint {endpoint}, window_end timestamp, calls long"
+    delay_us, silent_us = (int(pd.Timedelta(x).total_seconds() * 10 ** 6) for x in (delay, silent))
+
+    def state(batch_id: int, name: str) -> str:
+        return f"{checkpoint}/alarm_state/{batch_id % 2}/{name}"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-
-    writer = rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+        own = batch.sparkSession
+        if batch_id:
+            keys, opened = (own.read.schema(t).parquet(state(batch_id - 1, n))
+                            for t, n in ((keys_type, "keys"), (open_type, "open")))
+        else:
+            keys, opened = own.createDataFrame([], keys_type), own.createDataFrame([], open_type)
+        # Another call finds no state once its key was silent for too long.
+        heard = F.unix_micros("arrived") + silent_us >= F.unix_micros(F.current_timestamp())
+        keys = keys.where(heard)
+        opened = _same(opened, keys, KEY, ["latest"]).where(F.col("latest").isNotNull()).drop("latest")
+        windows = materialize(_windows(batch, keys, opened, delay_us), "alarm_windows")
+        _rows(windows).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        fresh = windows.select(*KEY, F.col("at").alias("latest"), "arrived")
+        now = keys.unionByName(fresh).groupBy(*KEY).agg(F.max("latest").alias("latest"), F.max("arrived").alias("arrived"))
+        now.write.mode("overwrite").parquet(state(batch_id, "keys"))
+        now = own.read.schema(keys_type).parquet(state(batch_id, "keys"))
+        counted = windows.where(~F.col("is_late")).select(*KEY, "window_end", (F.col("before") + F.col("n")).alias("calls"))
+        counts = opened.unionByName(counted).groupBy(*KEY, "window_end").agg(F.max("calls").alias("calls"))
+        (_same(counts, now, KEY, ["latest"]).where(~_closed(delay_us)).drop("latest")
+         .write.mode("overwrite").parquet(state(batch_id, "open")))
+
+    writer = placed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write_batch)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
 

@@ -116,3 +116,19 @@ def test_alarms_with_a_quota_table_and_text_clients(spark, tmp_root):
                   f"{tmp_root}/ckpt", "1 hour", quotas).awaitTermination()
     got = {(r.client, r.endpoint): (r.counted, r.quota, r.alarms) for r in AL.read_alarms(spark, f"{tmp_root}/out").collect()}
     assert got == {("x", "a"): (3, 2, 1), ("x", "b"): (3, 5, 0)}
+
+
+def test_alarm_state_is_joined_without_a_call_per_key(spark, tmp_root, monkeypatch):
+    """No Python call per key; null clients are a key, too."""
+    runs = []
+    windows = AL._windows
+    monkeypatch.setattr(AL, "_windows", lambda *a: runs.append(windows(*a)) or runs[-1])
+    got = run_parts(spark, tmp_root, [
+        [(t(10, 30), 1, "a"), (t(10, 10), None, "a"), (t(10, 0), 2, None)],
+        [(t(10, 50), 1, "a"), (t(10, 40), 1, "a"), (t(10, 5), None, "a"), (t(10, 6), None, "a"), (t(10, 7), 2, None)]])
+    assert {k: (r.counted, r.late, r.alarms) for k, r in got.items()} == {
+        (1, "a", 10): (3, 0, 1), (None, "a", 10): (3, 0, 1), (2, None, 10): (2, 0, 0)}
+    assert len(runs) == 2
+    for df in runs:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
