@@ -241,6 +241,21 @@ def test_cut_repeats(spark, docs, odd, none):
     assert {r["doc_id"]: r["text"] for r in substring.cut_repeats(df).collect()} == {1: PASSAGE, 2: "before,\nafter é"}
 
 
+def test_cut_repeats_shuffles_only_texts_with_cuts(spark, monkeypatch):
+    from tastemap.operators import broadcast
+    rows = [(1, PASSAGE), (2, "before " + PASSAGE), (3, "no passage"), (4, None), (None, PASSAGE), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = substring.cut_repeats(df)
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "LeftOuter" not in plan
+    got = sorted(map(str, cut.collect()))
+    monkeypatch.setattr(broadcast, "BROADCAST_LIMIT_BYTES", 0)
+    whole = substring.cut_repeats(df)
+    assert "LeftOuter" in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, whole.collect())) == got and len(got) == 6
+    assert {r["doc_id"]: r["text"] for r in whole.collect()}[2] == "before "
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet(f"{SF_LABELS}/documents.parquet")
     labels = spark.read.parquet(f"{SF_LABELS}/labels.parquet")
