@@ -1,5 +1,6 @@
 """Sharding, SimHash, substring dedup, quality, toxicity and the pipeline against brute force."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -225,6 +226,31 @@ def test_one_agreeing_window_is_a_candidate(spark):
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["a_from"] <= 10 and got[0]["a_to"] >= 57
 
 
+@pytest.mark.parametrize("all_pairs", [64, 2])
+def test_passages_of_lines_that_many_texts_share_find_their_class(spark, monkeypatch, all_pairs):
+    """Every two texts have three of twelve common lines in one order, with another word changed in each: most minima
+    lie in the lines, so the first window of a signature and the one before are seldom of the same two texts."""
+    monkeypatch.setattr(substring, "ALL_PAIRS", all_pairs)
+    r = random.Random(7)
+    lines = [[f"line{i}x{k}" for k in range(18)] for i in range(12)]
+    families = r.sample(list(itertools.permutations(range(12), 3)), 150)
+    texts = []
+    for n, family in enumerate(families):
+        for copy in range(2):
+            words = [w for i in family for w in lines[i]]
+            words[r.choice((0, 1, 52, 53))] = f"own{n}y{copy}"
+            texts.append((n, " ".join([f"a{n}y{copy}z{k}" for k in range(30)] + words
+                                      + [f"b{n}y{copy}z{k}" for k in range(30)])))
+    r.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = defaultdict(dict)
+    for x in substring.passages(df).collect():
+        found[texts[x["doc_id"]][0]][x["doc_id"]] = x["class_id"]
+    expected = {n: min(i for i, (m, _) in enumerate(texts) if m == n) for n in range(len(families))}
+    whole = sum(len(found[n]) == 2 and set(found[n].values()) == {expected[n]} for n in expected)
+    assert whole >= 0.98 * len(families)
+
+
 def test_cut_repeats(spark, docs, odd, none):
     cut = substring.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.schema == docs.schema
