@@ -1,7 +1,10 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from tastemap.session import ensure_checkpoint_dir, fresh_path, materialize, shared_root
+from tastemap.session import SHUFFLE_CLEANUP, ensure_checkpoint_dir, fresh_path, materialize, release, shared_root
 
 
 def test_shared_root_comes_from_the_session(spark):
@@ -31,3 +34,35 @@ def test_materialize_computes_once_and_cuts_lineage(spark):
     assert acc.value == 50                       # the input ran exactly once
     assert "Scan parquet" in m._jdf.queryExecution().executedPlan().toString() or \
         "FileScan parquet" in m._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    jvm_blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files():
+        return {f.toString() for f in _java_list(spark, jvm_blocks.getAllFiles()) if "shuffle_" in f.toString()}
+
+    before = shuffle_files()
+    rows = spark.range(10_000).groupBy((F.col("id") % 97).alias("g")).count()
+    table = materialize(rows, "test")
+    deadline = time.time() + 20
+    while shuffle_files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files() - before
+    assert table.count() == 97 and rows.count() == 97 and spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
+def _java_list(spark, seq):
+    items = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq)
+    return [items.get(i) for i in range(items.size())]
+
+
+def test_release_deletes_intermediate_tables_only(spark, tmp_path):
+    table = materialize(spark.range(10), "test")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    release(table)
+    assert not os.path.exists(folder)
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError):
+        release(spark.read.parquet(f"{tmp_path}/own"))
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 3
