@@ -1,6 +1,7 @@
 """Sharding, SimHash, substring dedup, quality, toxicity and the pipeline against brute force."""
 
 import itertools
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -251,6 +252,28 @@ def test_passages_of_lines_that_many_texts_share_find_their_class(spark, monkeyp
     assert whole >= 0.98 * len(families)
 
 
+def test_compared_windows_are_read_a_group_at_a_time(spark):
+    """Equal pairs as by sets, with tokens as 32-bit numbers of either sign."""
+    r = random.Random(3)
+    rows = [(sig, doc, 10 * doc, r.randrange(3), sorted(r.sample(range(-9, 9), 8)), r.choice((4, 5)))
+            for sig in range(6) for doc in range(sig + 2)]
+    few = spark.createDataFrame(rows, "sig long, doc long, place long, label long, t array<int>, need int")
+    want = sorted((a[1], a[2], b[1], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] != b[3]
+                  and len(set(a[4]) & set(b[4])) >= max(a[5], b[5]))
+    assert sorted(map(tuple, substring._alike(few).collect())) == want and want
+    assert substring._alike(few.where("false")).count() == 0
+
+
+def test_passages_leave_no_large_intermediate_table(spark, docs, monkeypatch):
+    kinds = []
+    write = substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, kind: kinds.append((kind, t := write(df, kind))) or t)
+    substring.verified(substring._readable(docs, "doc_id", "text"))
+    left = {kind for kind, t in kinds for f in t.inputFiles() if os.path.exists(f.removeprefix("file://"))}
+    assert {"passage_links", "passage_labels", "passage_contents", "passage_candidates"} <= {kind for kind, _ in kinds}
+    assert not left & {"passage_links", "passage_labels", "passage_contents", "passage_candidates"}
+
+
 def test_cut_repeats(spark, docs, odd, none):
     cut = substring.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.schema == docs.schema
